@@ -1,11 +1,24 @@
-"""Corpus pipeline: documents in, packed training sequences out."""
+"""Corpus pipeline: documents in, packed training sequences out.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
+of documents. Null texts have no language and go in the first stage; every later stage states its own
+cases in its operator.
+"""
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import exact_dedup, packing, secrets
+from quillon.llm import exact_dedup, langid, minhash, packing, secrets
+from quillon.llm._common import clear_staging, shared_dir
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language (no text, or no letter in it) go; all others stay."""
+    return langid.keep_known(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,20 +26,44 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: five-word shingles, similarity 0.8 or more."""
+    return minhash.deduplicate(docs, percent=80)
+
+
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the texts; no document goes. n_chars follows the text."""
-    text = secrets.redact(F.col("text"))
-    return docs.withColumn("text", text).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    """Secrets are replaced in the texts; no document goes. n_chars follows a changed text."""
+    columns = docs.columns
+    clean = docs.withColumn("clean_text", secrets.redact(F.col("text")))
+    changed = ~F.col("clean_text").eqNullSafe(F.col("text"))
+    clean = clean.withColumn("n_chars", F.when(changed, F.char_length("clean_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return clean.withColumn("text", F.col("clean_text")).select(*columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 4096 tokens; ids as an array."""
+    """The pieces of all documents in sequences of 4096 tokens; ids as little-endian bytes."""
     return packing.pack_documents(docs)
 
 
-STAGES = [("exact dedup", exact), ("secret scan", redact_secrets), ("packing", pack)]
+STAGES = [
+    ("language id", known_language),
+    ("exact dedup", exact),
+    ("minhash near-dedup", near),
+    ("secret scan", redact_secrets),
+    ("packing", pack),
+]
+
+#: The network of the first stage and the vocabulary of the last have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over documents; each result is written as Parquet and reread by the next stage."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    root = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid4().hex}"
+    for i, (_, stage) in enumerate(STAGES):
+        path = f"{root}/{i}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        clear_staging(spark)
+        docs = spark.read.parquet(path)
+    return docs

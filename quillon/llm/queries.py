@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, secrets, sharding, token_counts
+from . import ann, bpe, exact_dedup, langid, minhash, packing, ppm, secrets, sharding, token_counts
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -18,15 +18,31 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(_table(spark, sf_dir, "documents"))
 
 
+def op4_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(_table(spark, sf_dir, "documents"))
+
+
 def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(_table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(_table(spark, sf_dir, "documents"))
 
@@ -40,7 +56,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_secret_scan, op6_vector_packing, op8_exact_dedup, op9_shard_table, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_minhash, op3_secret_scan, op4_byte_gru, op5_ppm, op6_vector_packing, op7_permutation_index, op8_exact_dedup, op9_shard_table, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
