@@ -170,7 +170,7 @@ def find(corpus: Corpus, document: str | dict | ir.Operation | ir.Find, dangling
     for kind in sorted(wanted):
         lists = graph.edge_lists(corpus, rows.select("key"), kind).withColumnRenamed("edges", f"_{kind[1:]}")
         rows = rows.join(lists, "key", "left")
-    columns = [_output(source).alias(name) for name, source in outputs]
+    columns = [_output(source, corpus).alias(name) for name, source in outputs]
     if projection.base == "document":
         columns = _with_frontmatter(columns, outputs)
     return rows.orderBy(*order).select(*columns)
@@ -179,7 +179,7 @@ def find(corpus: Corpus, document: str | dict | ir.Operation | ir.Find, dangling
 _NO_EDGES = "array<struct<key:string,title:string,sectionPath:array<string>>>"
 
 
-def _output(source: ir.Source) -> Column:
+def _output(source: ir.Source, corpus: Corpus) -> Column:
     if source.kind == "field":
         return fields.at(F.col("fm"), source.arg)
     if source.kind == "blocks":
@@ -189,7 +189,7 @@ def _output(source: ir.Source) -> Column:
     if source.kind == "content":
         from ..operators.edits import narrowed
 
-        return narrowed(source.arg, F.col("blocks"), F.col("body"))
+        return narrowed(source.arg, corpus)
     title = F.coalesce("title", "key")
     if source.arg in _EDGES:
         return F.coalesce(F.col(f"_{source.arg[1:]}"), F.array().cast(_NO_EDGES))
