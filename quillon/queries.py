@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import blocks as block_functions
-from .operators import graph, search
+from .operators import graph, retrieve, schema, search, stats
 from .plans import compile as plans
 from .plans import ir, parse
 from .sources import corpus as sources
@@ -408,3 +408,135 @@ def find_search(spark, sf_dir):
 )
 def similar_documents(spark, sf_dir):
     return search.similar_documents(texts(spark, sf_dir)).select("key", "links")
+
+
+# statistics, schemas, expansion
+
+_STATS = GEO + """, ib AS (SELECT dst AS key, count(*) AS n FROM (SELECT DISTINCT * FROM inc) GROUP BY dst), rb AS (SELECT dst AS key, count(*) AS n FROM (SELECT DISTINCT * FROM ref) GROUP BY dst),
+    io AS (SELECT src AS key, count(*) AS n FROM (SELECT DISTINCT * FROM inc) GROUP BY src), ro AS (SELECT src AS key, count(*) AS n FROM ref GROUP BY src),
+    st AS (SELECT d.key, coalesce(d.title, d.key) AS title, CAST(coalesce(ib.n, 0) AS BIGINT) AS included_by_count, CAST(coalesce(rb.n, 0) AS BIGINT) AS referenced_by_count, CAST(coalesce(io.n, 0) AS BIGINT) AS includes_count, CAST(coalesce(ro.n, 0) AS BIGINT) AS references_count
+      FROM docs d LEFT JOIN ib USING (key) LEFT JOIN rb USING (key) LEFT JOIN io USING (key) LEFT JOIN ro USING (key))"""
+
+
+@register(_STATS + " SELECT *, included_by_count + referenced_by_count + includes_count + references_count AS total_edges_count FROM st")
+def doc_stats(spark, sf_dir):
+    return stats.document_stats(geo(spark, sf_dir)).select("key", "title", "included_by_count", "referenced_by_count", "includes_count", "references_count", "total_edges_count")
+
+
+@register(f"{TEXTS} SELECT key, CAST(len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '')) AS BIGINT) AS paragraphs, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS BIGINT) AS words FROM t")
+def text_stats(spark, sf_dir):
+    return stats.document_stats(texts(spark, sf_dir)).select("key", "paragraphs", "words")
+
+
+@register(_STATS + " SELECT count(*) AS total_documents, CAST(sum(included_by_count) AS BIGINT) AS inclusion_edges, CAST(sum(referenced_by_count) AS BIGINT) AS reference_edges, round(sum(included_by_count + referenced_by_count) / count(*), 6) AS avg_refs_per_doc, count(*) FILTER (included_by_count + referenced_by_count = 0) AS orphaned_documents, round(100.0 * count(*) FILTER (includes_count = 0) / count(*), 6) AS leaf_percentage FROM st")
+def corpus_stats(spark, sf_dir):
+    row = stats.corpus_stats(geo(spark, sf_dir))
+    return row.select("total_documents", "inclusion_edges", "reference_edges", F.round("avg_refs_per_doc", 6).alias("avg_refs_per_doc"), "orphaned_documents", F.round("leaf_percentage", 6).alias("leaf_percentage"))
+
+
+@register(_STATS + " SELECT key, included_by_count + referenced_by_count + includes_count + references_count AS edges FROM st ORDER BY edges DESC, key LIMIT 10")
+def top_connected(spark, sf_dir):
+    return stats.top_documents(geo(spark, sf_dir), "connected").select("key", F.col("total_edges_count").alias("edges"))
+
+
+@register(_STATS + " SELECT key, included_by_count, referenced_by_count FROM st")
+def facet_counts(spark, sf_dir):
+    return stats.facet_counts(geo(spark, sf_dir))
+
+
+_EVENT_FIELDS = EVENTS + """, f AS (SELECT key, 'type' AS path, 'string' AS type, CASE WHEN regexp_full_match(type, '[\\p{L}\\p{N}\\-_./]+') THEN type END AS value FROM t
+    UNION ALL SELECT key, 'user', 'number', CAST(user_id AS VARCHAR) FROM t
+    UNION ALL SELECT key, 'props', CASE WHEN props IS NULL OR json_type(props) = 'NULL' THEN 'null' ELSE 'object' END, CASE WHEN props IS NULL OR json_type(props) = 'NULL' THEN 'null' END FROM t
+    UNION ALL SELECT key, 'props.k', 'number', CAST(props ->> '$.k' AS VARCHAR) FROM t WHERE json_type(props, '$.k') IS NOT NULL)"""
+
+
+@register(_EVENT_FIELDS + " SELECT path, type, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY path), 6) AS percentage FROM f GROUP BY path, type")
+def schema_types(spark, sf_dir):
+    return schema.types(schema.field_values(events(spark, sf_dir).documents)).withColumn("percentage", F.round("percentage", 6))
+
+
+@register(_EVENT_FIELDS + " SELECT path, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM t), 6) AS percentage FROM f GROUP BY path")
+def schema_coverage(spark, sf_dir):
+    docs = events(spark, sf_dir).documents
+    return schema.coverage(schema.field_values(docs), docs).withColumn("percentage", F.round("percentage", 6))
+
+
+@register(_EVENT_FIELDS + ", c AS (SELECT path, value, count(*) AS n FROM f WHERE value IS NOT NULL GROUP BY path, value) SELECT path, value, n FROM c WHERE path IN (SELECT path FROM c GROUP BY path HAVING count(*) <= 100)")
+def schema_values(spark, sf_dir):
+    return schema.value_counts(schema.field_values(events(spark, sf_dir).documents))
+
+
+@register(
+    f"""{TEXTS}, r AS (SELECT key, n_chars, sum(n_chars) OVER (ORDER BY n_chars DESC, key ROWS UNBOUNDED PRECEDING) AS s, row_number() OVER (ORDER BY n_chars DESC, key) AS n FROM t),
+    c AS (SELECT min(n) AS stop FROM r WHERE n > 1 AND s > 200000) SELECT key, n_chars FROM r, c WHERE n < coalesce(stop, n + 1)"""
+)
+def token_budget(spark, sf_dir):
+    """A budget over lengths in characters, which SQL can check; documents in order of length."""
+    rows = texts(spark, sf_dir).documents.select("key", F.try_variant_get("fm", "$.n_chars", "long").alias("n_chars"))
+    return retrieve.within(rows, [F.desc("n_chars"), F.asc("key")], 200_000, "n_chars")
+
+
+@register(
+    GEO
+    + """, seed AS (SELECT key, row_number() OVER (ORDER BY key) AS ord FROM docs WHERE key IN ('nation/3', 'nation/4', 'customer/5')),
+    x AS (SELECT ord, key, 0 AS phase, '' AS child, 0 AS depth FROM seed
+      UNION ALL SELECT ord, inc.dst, 1, '', 1 FROM seed JOIN inc ON inc.src = seed.key
+      UNION ALL SELECT ord, inc.src, 2, '', 1 FROM seed JOIN inc ON inc.dst = seed.key
+      UNION ALL SELECT ord, up.src, 3, inc.dst, 1 FROM seed JOIN inc ON inc.src = seed.key JOIN inc up ON up.dst = inc.dst),
+    f AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ord, phase, child, depth) AS n FROM x)
+    SELECT key, CAST(ord AS BIGINT) AS ord, phase, depth FROM f WHERE n = 1"""
+)
+def retrieve_expand(spark, sf_dir):
+    c = geo(spark, sf_dir)
+    seeds = c.documents.where("key IN ('nation/3', 'nation/4', 'customer/5')").select("key", F.row_number().over(Window.orderBy("key")).alias("ord"))
+    return retrieve.expand(c, seeds, includes=1, included_by=1).select("key", F.col("ord").cast("long").alias("ord"), "phase", "depth")
+
+
+@register(
+    GEO
+    + """, tr AS (SELECT key AS root, key, 0 AS level FROM docs WHERE key IN ('region/1', 'region/2')
+      UNION ALL SELECT tr.root, inc.dst, tr.level + 1 FROM tr JOIN inc ON inc.src = tr.key WHERE tr.level < 2)
+    SELECT root, key, level FROM tr"""
+)
+def tree_depth(spark, sf_dir):
+    c = geo(spark, sf_dir)
+    starts = c.documents.where("key IN ('region/1', 'region/2')").select("key")
+    return graph.tree(c, starts, 3).select("root", "key", "level")
+
+
+@register(
+    GEO
+    + """, ch AS (SELECT key, key AS chain, 1 AS n FROM docs WHERE key NOT IN (SELECT dst FROM inc) AND kind = 'region'
+      UNION ALL SELECT inc.dst, ch.chain || ' > ' || inc.dst, ch.n + 1 FROM ch JOIN inc ON inc.src = ch.key)
+    SELECT chain, n FROM ch"""
+)
+def node_paths(spark, sf_dir):
+    """Chains of keys from the regions down."""
+    c = geo(spark, sf_dir)
+    one = sources.block(F.lit(0), F.lit(-1), F.lit(0), F.lit(0), F.lit("header"), F.coalesce("title", "key"))
+    c.documents = c.documents.withColumn("blocks", F.when(F.col("key").startswith("region/"), F.array(one)).otherwise(F.col("blocks")))
+    return graph.paths(c).select(F.array_join("keys", " > ").alias("chain"), F.size("keys").alias("n"))
+
+
+@register()
+def schema_validate(spark, sf_dir):
+    """Every text against a schema of its metadata; texts have no metadata of their own, so each violates."""
+    return schema.validate(texts(spark, sf_dir), {"note": {"frontmatter": {"required": ["lang"]}, "maxTokens": 4000}}, {"note": ["doc/**"]})
+
+
+@register()
+def update_fields(spark, sf_dir):
+    """A guarded metadata edit of matching documents, as a change set."""
+    from .operators import edits
+
+    return edits.update(texts(spark, sf_dir), "{filter: {lang: es, n_chars: {$lt: 2000}}, update: {$set: {reviewed: true}}, expect: {min: 0}}")
+
+
+@register()
+def squash_thread(spark, sf_dir):
+    """All conversations as Markdown with normal form, through the reader and renderer."""
+    from .operators import edits
+    from .sources.files import from_markdown
+
+    turns = threads(spark, sf_dir).documents.select("key", "content")
+    return edits.normalize(from_markdown(turns))
