@@ -86,12 +86,14 @@ def read_directory(spark: SparkSession, path: str, extension: str = "md", ignore
     rows = rows.where(~F.col("rel").rlike(r"(^|/)\."))
     if ignore is None:
         ignore = []
-        for name in (".gitignore", ".ignore"):
-            try:
-                ignore += [r["value"] for r in spark.read.text(f"{path}/{name}").collect()]
-            except Exception as e:  # noqa: BLE001
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for name in (".gitignore", ".ignore"):  # Spark's own readers leave out hidden files
+            at = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+            fs = at.getFileSystem(conf)
+            if fs.exists(at):
+                stream = fs.open(at)
+                ignore += jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n")
+                stream.close()
     out = F.lit(False)
     for line in ignore:
         line = line.strip()
