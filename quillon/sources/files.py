@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import yamlcore
 from ..functions.blocks import BLOCK
+from ..plans.staging import staged
 from . import markdown
 from .corpus import Corpus, variant
 
@@ -140,6 +141,7 @@ def apply_to_directory(changes: DataFrame, path: str, extension: str = "md") ->
     from pathlib import Path
 
     root = Path(re.sub(r"^file:/*", "/", path))
+    changes = staged(changes, "changes")  # they may come from the files that are about to change
 
     def remove(rows):
         for r in rows:
