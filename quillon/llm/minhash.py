@@ -7,11 +7,11 @@ whole signature is a few reads. Bands of the signature propose candidates; a lin
 the exact Jaccard index of the full shingle sets.
 
 1. Documents with equal sets are one class, represented by its smallest id.
-2. In each bucket with several classes, stars propose pairs: a pivot against the others, so a bucket
-   of n costs n pairs a round. Confirmed links join classes into components.
-3. Pairs already inside one component need no check. Stars with other pivots are repeated for
-   buckets that still hold several components, then all pairs left between different components of
-   a bucket are checked. No pair that could join two components is left out, whatever a bucket's size.
+2. In each bucket with several classes a star proposes pairs: its most central class against the others,
+   so a bucket of n costs n pairs. Confirmed links join classes into components.
+3. Pairs inside one component need no check. Classes of buckets that still hold several components are
+   compared through their rarest shingles, which finds every similar pair between two components,
+   whatever a bucket's size, without trying all pairs of a bucket.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z in lower case; a set holds the distinct shingles
 of five words, or the whole sequence where there are fewer. Shingles are compared by 64-bit hashes.
@@ -40,8 +40,6 @@ UNIVERSE = 1 << 20
 #: (bands, rows) by the least similarity in hundredths: a pair at the threshold shares no band with
 #: a probability under one in a million.
 BANDS = {85: (32, 6), 80: (36, 5)}
-#: Star rounds before the remaining pairs of a bucket are all checked.
-STARS = 5
 
 _U = np.uint64
 _MULTIPLIER = _U(0x9E3779B97F4A7C15)
@@ -198,11 +196,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = linkable.join(classes.withColumnRenamed("node", "doc_id"), ["set_a", "set_b", "doc_id"], "left_semi")
     buckets = marked.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     of_bucket = Window.partitionBy("bucket")
-    members = staged(buckets.withColumn("lo", F.min("node").over(of_bucket)).withColumn("hi", F.max("node").over(of_bucket)).where("lo <> hi").select("bucket", "node", "n"), "minhash-members")
+    members = staged(buckets.withColumn("lo", F.min("node").over(of_bucket)).withColumn("hi", F.max("node").over(of_bucket)).where("lo <> hi").withColumn("size", F.count(F.lit(1)).over(of_bucket)).select("bucket", "node", "n", "size"), "minhash-members")
 
-    found = _link(members, docs, id_col, text_col, percent, size)
-    # ids that one id repeated with other texts holds together
-    repeated = thin.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id")
+    # texts that one id repeated with other texts holds together
+    repeated = staged(thin.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id"), "minhash-repeated")
+    found = _link(members, docs, id_col, text_col, percent, size, repeated.isEmpty())
     same = linkable.join(repeated, "doc_id").join(classes, ["set_a", "set_b"]).select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     groups = components(found.unionByName(same))
     named = classes.where("members > 1").select("set_a", "set_b", "node").unionByName(classes.where("members = 1").join(groups.select("node"), "node", "left_semi").select("set_a", "set_b", "node"))
@@ -212,36 +210,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return placed.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _link(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, size: int) -> DataFrame:
+def _link(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, size: int, unique: bool) -> DataFrame:
     """Confirmed links (u, v) that join every two classes which any chain of similar pairs joins."""
-    spark = members.sparkSession
     nodes = members.select("node").distinct()
     texts = id_text(docs, id_col, text_col).withColumnRenamed("doc_id", "node")
+    texts = texts.join(nodes, "node", "left_semi")
     # an id that several rows share has a set for each of its texts
-    sets = staged(full_sets(texts.join(nodes, "node", "left_semi").dropDuplicates(["node", "text"]), size), "minhash-sets")
-    links = spark.createDataFrame([], T.StructType([T.StructField("u", members.schema["node"].dataType), T.StructField("v", members.schema["node"].dataType)]))
-    tried = links
-    open_ = members.withColumn("component", F.col("node"))
-    for turn in range(STARS + 1):
-        in_bucket = Window.partitionBy("bucket")
-        if turn:
-            groups = components(links)
-            open_ = open_.drop("component").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            open_ = open_.withColumn("lo", F.min("component").over(in_bucket)).withColumn("hi", F.max("component").over(in_bucket)).where("lo <> hi").drop("lo", "hi")
-            open_ = staged(open_, "minhash-open")
-            if open_.isEmpty():
-                break
-        if turn < STARS:
-            # the pivot is another one in each round and bucket
-            order = F.struct(F.xxhash64("node", "bucket", F.lit(turn)).alias("o"), F.col("node").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc")) if turn else F.struct(F.lit(0).alias("o"), F.col("node").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"))
-            pairs = open_.withColumn("pivot", F.min(order).over(in_bucket)).where("component <> pivot.pc").where(_possible(F.col("n"), F.col("pivot.pn"), percent)).select(*_pair(F.col("pivot.p"), F.col("node")))
-        else:
-            other = open_.select("bucket", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-            pairs = open_.join(other, "bucket").where(F.col("component") < F.col("component2")).where(_possible(F.col("n"), F.col("n2"), percent)).select(*_pair(F.col("node"), F.col("node2")))
-        pairs = staged(pairs.distinct().join(tried, ["u", "v"], "left_anti"), "minhash-pairs")
-        tried = tried.unionByName(pairs)
-        links = links.unionByName(staged(_confirm(pairs, sets, percent), "minhash-links"))
-    return links
+    sets = full_sets(texts if unique else texts.dropDuplicates(["node", "text"]), size)
+    sets = staged(sets.withColumn("set_id", F.monotonically_increasing_id()), "minhash-sets")
+
+    central = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    pivot = F.max(F.struct("weight", (-F.col("n")).alias("less"), "node", "n")).over(Window.partitionBy("bucket")).alias("pivot")
+    stars = members.join(central, "node").select("node", "n", pivot).where("node <> pivot.node").where(_possible(F.col("n"), F.col("pivot.n"), percent))
+    stars = staged(stars.select(*_pair(F.col("pivot.node"), F.col("node"))).distinct(), "minhash-pairs")
+    links = staged(_confirm(stars, sets, percent), "minhash-links")
+
+    # buckets that hold several components
+    groups = components(links)
+    found = members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of_bucket = Window.partitionBy("bucket")
+    found = found.withColumn("lo", F.min("component").over(of_bucket)).withColumn("hi", F.max("component").over(of_bucket)).where("lo <> hi")
+    left = staged(found.groupBy("node").agg(F.first("component").alias("component")), "minhash-open")
+    pairs = staged(_by_prefix(left, sets, percent).join(stars, ["u", "v"], "left_anti"), "minhash-pairs")
+    return links.unionByName(_confirm(pairs, sets, percent))
+
+
+def _by_prefix(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of nodes of different components, among them all that are similar enough.
+
+    Two sets that similar have a common shingle among the rarest of each: the smaller one's first
+    n - ceil(2t / (1 + t) * n) + 1 and the larger one's first n - ceil(t * n) + 1, in any one order of all
+    shingles, and from the first common one on there are enough left. In order of frequency, what a
+    group of documents shares stands last, so large groups of merely related texts propose few pairs.
+    """
+    rows = sets.join(left, "node").select("node", "set_id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
+    place = F.row_number().over(Window.partitionBy("set_id").orderBy("often", "shingle"))
+    n = F.col("n")
+    short = n - F.floor((2 * percent * n + 99 + percent) / (100 + percent)) + 1
+    long = n - F.floor((percent * n + 99) / 100) + 1
+    rows = rows.join(often, "shingle").withColumn("place", place).withColumn("short", short).withColumn("long", long)
+    rows = staged(rows.where((F.col("place") <= F.col("long")) & (F.col("often") > 1)).select("shingle", "node", "component", "n", "place", "short"), "minhash-prefix")
+    a = rows.where(F.col("place") <= F.col("short")).select("shingle", *[F.col(c).alias(f"a_{c}") for c in ("node", "component", "n", "place")])
+    b = rows.select("shingle", *[F.col(c).alias(f"b_{c}") for c in ("node", "component", "n", "place")])
+    smaller = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_node") != F.col("b_node")))
+    rest = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place")) + 1
+    enough = (100 + percent) * rest >= percent * (F.col("a_n") + F.col("b_n"))
+    pairs = a.join(b, "shingle").where(smaller & (F.col("a_component") != F.col("b_component")) & _possible(F.col("a_n"), F.col("b_n"), percent) & enough)
+    return pairs.select(*_pair(F.col("a_node"), F.col("b_node"))).distinct()
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
