@@ -55,8 +55,19 @@ def clear_staging(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of at most 1000 rows between JVM and Python, unless the session has its own setting.
+
+    Documents are long, and a batch of Spark's default 10,000 of them is held several times over.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator reads, under fixed names; other columns can't clash."""
+    small_batches(docs.sparkSession)
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
 
 

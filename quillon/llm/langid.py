@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import crc_mod, slices, text_bytes
+from ._common import crc_mod, id_text, slices, small_batches, text_bytes
 
 #: Labelled rows of each language that the network is fitted on, and windows taken from each row.
 SAMPLE = 400
@@ -219,7 +219,7 @@ def document_probabilities(net: Network, raw: np.ndarray, offsets: np.ndarray) -
 
 def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of every whole text."""
-    picked = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    picked = id_text(docs, id_col, text_col)
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
 
     def run(batches):
@@ -246,6 +246,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.0, rows: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` that have a language, with a score of ``least`` or more."""
+    small_batches(docs.sparkSession)
     net = train(docs, rows, id_col, text_col, lang_col)
     keep = language_of(net)(docs[text_col])
     return docs.where((keep["lang_pred"] != "und") & (keep["score"] >= least))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import crc_mod, int64, ragged, slices, staged, text_bytes
+from ._common import crc_mod, int64, ragged, slices, small_batches, staged, text_bytes
 
 #: Words above one in this many tokens are broadcast.
 SPREAD = 500_000
@@ -161,6 +161,7 @@ def gather(texts: DataFrame) -> DataFrame:
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spread: int = SPREAD) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     spark = docs.sparkSession
+    small_batches(spark)
     picked = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     learn = picked.where(~held_out(F.col("doc_id")))
     counted = staged(gather(learn.select("text")), "ppm-counts")
