@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import yamlcore
 from ..functions.blocks import BLOCK
 from ..plans.staging import staged
-from . import markdown
+from . import djot, markdown  # noqa: F401  djot adds its reader
 from .corpus import Corpus, variant
 
 PARSED = f"key string, title string, fm_json string, content string, body string, plain string, blocks array<{BLOCK}>, links array<struct<kind:string,dst:string,wiki:boolean,block_pos:int,section_path:array<string>,occurrences:int>>"
