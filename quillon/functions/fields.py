@@ -140,6 +140,41 @@ def field_test(fm: Column, test: ir.FieldTest) -> Column:
     raise ValueError(op)
 
 
+def _class_of_literal(value: Any) -> str:
+    return "boolean" if isinstance(value, bool) else "number" if isinstance(value, (int, float)) else "string" if isinstance(value, str) else "other"
+
+
+def typed_test(column: Column, kind: str, test: ir.FieldTest) -> Column | None:
+    """The test on a field that is kept in a column of one class, null where absent; None if only the variant will do.
+
+    Each comparison is guarded by IS NOT NULL instead of a coalesce: that is two-valued as well, and Catalyst
+    can push it, or its negation, into the scan.
+    """
+
+    def compared(op: str, literal: Any) -> Column:
+        if isinstance(literal, float) and not math.isfinite(literal):
+            return F.lit(False)
+        return column.isNotNull() & _OPS[op](column, F.lit(literal)) if _class_of_literal(literal) == kind else F.lit(False)
+
+    op, arg = test.op, test.arg
+    if op in ("in", "nin"):
+        same = [a for a in arg if _class_of_literal(a) == kind]
+        hit = column.isNotNull() & column.isin(*same) if same else F.lit(False)
+        return hit if op == "in" else ~hit
+    if op == "exists":
+        return column.isNotNull() if arg else column.isNull()
+    if op == "ne":
+        return ~compared("eq", arg)
+    if op in _OPS:
+        return compared(op, arg)
+    if op == "type" and not {"date", "datetime"} & set(arg):
+        return column.isNotNull() if kind in arg else F.lit(False)
+    if op == "not":
+        parts = [typed_test(column, kind, t) for t in arg]
+        return None if any(p is None for p in parts) else ~reduce(lambda a, b: a & b, parts)
+    return None
+
+
 def _type(v: Column, name: str) -> Column:
     if name in ("date", "datetime"):
         return _is(v, "string") & _false(_as(v, "string").rlike(DATE if name == "date" else DATETIME))

@@ -198,7 +198,7 @@ def _rows(corpus, operation: ir.Operation) -> DataFrame:
     from ..plans import compile as plans
 
     rows = plans.select(corpus, operation.filter, False)
-    return plans._limited(rows, operation)
+    return plans._limited(rows, operation, corpus.typed)
 
 
 def _check_documents(rows: DataFrame, operation: ir.Operation) -> None:

@@ -34,6 +34,7 @@ class _Selection:
 
     def __init__(self, corpus: Corpus, dangling: bool):
         self.corpus, self.dangling = corpus, dangling
+        self.typed = getattr(corpus, "typed", {})
         self.rows = corpus.documents.withColumn("is_document", F.lit(True))
         self.flags = 0
 
@@ -73,7 +74,11 @@ class _Selection:
     def _column(self, node, alone: bool) -> Column:
         document = F.col("is_document")
         if isinstance(node, ir.FieldTest):
-            test = fields.field_test(F.col("fm"), node)
+            test = None
+            if node.path in self.typed:
+                name, kind = self.typed[node.path]
+                test = fields.typed_test(F.col(name), kind, node)
+            test = fields.field_test(F.col("fm"), node) if test is None else test
             return test & document if alone else test
         if isinstance(node, ir.KeyTest):
             hit = F.col("key").isin(*node.keys) if node.op in ("eq", "in") else ~F.col("key").isin(*node.keys)
@@ -109,7 +114,10 @@ def matching_keys(corpus: Corpus, node, dangling: bool = True) -> DataFrame:
     return select(corpus, node, dangling).select("key")
 
 
-def _ordered(rows: DataFrame, operation: ir.Operation) -> tuple[DataFrame, list[Column]]:
+def _ordered(rows: DataFrame, operation: ir.Operation, typed: dict) -> tuple[DataFrame, list[Column]]:
+    if operation.sort and operation.sort.path in typed:
+        column = F.col(typed[operation.sort.path][0])
+        return rows, [column.desc_nulls_last() if operation.sort.descending else column.asc_nulls_first(), F.asc("key")]
     if operation.sort:
         return rows, [*fields.sort_columns(F.col("fm"), operation.sort), F.asc("key")]
     if "_score" in rows.columns:
@@ -117,10 +125,10 @@ def _ordered(rows: DataFrame, operation: ir.Operation) -> tuple[DataFrame, list[
     return rows, [F.asc("key")]
 
 
-def _limited(rows: DataFrame, operation: ir.Operation) -> DataFrame:
+def _limited(rows: DataFrame, operation: ir.Operation, typed: dict) -> DataFrame:
     if not operation.limit:
         return rows
-    rows, order = _ordered(rows, operation)
+    rows, order = _ordered(rows, operation, typed)
     return rows.orderBy(*order).limit(operation.limit)
 
 
@@ -156,7 +164,7 @@ def find(corpus: Corpus, document: str | dict | ir.Operation | ir.Find, dangling
     projection gives key and fm. ``scores`` (key, score) may replace the search clause's own ranking.
     """
     operation = document.operation if isinstance(document, ir.Find) else document if isinstance(document, ir.Operation) else parse(document, "find")
-    rows = _limited(_candidates(corpus, operation, dangling, scores), operation)
+    rows = _limited(_candidates(corpus, operation, dangling, scores), operation, corpus.typed)
     projection = operation.project or ir.Projection((), "frontmatter")
     if projection.base == "frontmatter":
         outputs = (("key", ir.Source("pseudo", "$key")), ("fm", ir.Source("pseudo", "$frontmatter")))
@@ -165,7 +173,7 @@ def find(corpus: Corpus, document: str | dict | ir.Operation | ir.Find, dangling
         outputs = tuple((n, given.pop(n, ir.Source("pseudo", s))) for n, s in DEFAULTS) + tuple(given.items())
     else:
         outputs = projection.fields
-    rows, order = _ordered(rows, operation)
+    rows, order = _ordered(rows, operation, corpus.typed)
     wanted = {s.arg for _, s in outputs if s.kind == "pseudo" and s.arg in _EDGES}
     for kind in sorted(wanted):
         lists = graph.edge_lists(corpus, rows.select("key"), kind).withColumnRenamed("edges", f"_{kind[1:]}")

@@ -43,8 +43,9 @@ def texts(spark: SparkSession, sf_dir: str) -> sources.Corpus:
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     fm = F.to_json(F.struct("lang", "source", "n_chars", "quality", "toxic", F.array("lang", "source").alias("tags"), F.struct(F.col("lang").alias("code"), F.struct(F.col("n_chars").alias("chars")).alias("size")).alias("meta")))
     key = F.concat(F.lit("doc/"), F.lpad(F.col("doc_id").cast("string"), 12, "0"))
-    rows = sources.documents(docs, key, fm, None, F.col("text"), sources.text_blocks(F.col("text")))
-    return sources.Corpus(rows, sources.no_edges(spark), sources.no_edges(spark))
+    own = {c: F.col(c) for c in ("lang", "source", "n_chars", "quality", "toxic")}
+    rows = sources.documents(docs, key, fm, None, F.col("text"), sources.text_blocks(F.col("text")), own)
+    return sources.Corpus(rows, sources.no_edges(spark), sources.no_edges(spark), {}, sources.typed_columns(rows))
 
 
 #: The same rows for SQL.
@@ -56,15 +57,19 @@ def geo(spark: SparkSession, sf_dir: str) -> sources.Corpus:
     """region > nation > customer > order as inclusions, nation > supplier too; orders refer to parts and suppliers."""
     t = lambda name: table(spark, sf_dir, name)
     key = lambda kind, c: F.concat(F.lit(kind + "/"), F.col(c).cast("string"))
-    fm = lambda kind, *cols: F.to_json(F.struct(F.lit(kind).alias("kind"), *cols))
     c = F.col
+
+    def rows(kind: str, id_col: str, title: Column | None, **own: Column) -> DataFrame:
+        own = {"kind": F.lit(kind), **own}
+        return sources.documents(t({"order": "orders"}.get(kind, kind)), key(kind, id_col), F.to_json(F.struct(*[v.alias(k) for k, v in own.items()])), title, typed=own)
+
     docs = [
-        sources.documents(t("region"), key("region", "r_regionkey"), fm("region", c("r_name").alias("name")), c("r_name")),
-        sources.documents(t("nation"), key("nation", "n_nationkey"), fm("nation", c("n_name").alias("name")), c("n_name")),
-        sources.documents(t("customer"), key("customer", "c_custkey"), fm("customer", c("c_mktsegment").alias("segment"), c("c_acctbal").alias("balance")), c("c_name")),
-        sources.documents(t("supplier"), key("supplier", "s_suppkey"), fm("supplier", c("s_acctbal").alias("balance")), c("s_name")),
-        sources.documents(t("orders"), key("order", "o_orderkey"), fm("order", c("o_orderstatus").alias("status"), c("o_totalprice").alias("price"))),
-        sources.documents(t("part"), key("part", "p_partkey"), fm("part", c("p_brand").alias("brand"), c("p_size").alias("size")), c("p_name")),
+        rows("region", "r_regionkey", c("r_name"), name=c("r_name")),
+        rows("nation", "n_nationkey", c("n_name"), name=c("n_name")),
+        rows("customer", "c_custkey", c("c_name"), segment=c("c_mktsegment"), balance=c("c_acctbal")),
+        rows("supplier", "s_suppkey", c("s_name"), balance=c("s_acctbal")),
+        rows("order", "o_orderkey", None, status=c("o_orderstatus"), price=c("o_totalprice")),
+        rows("part", "p_partkey", c("p_name"), brand=c("p_brand"), size=c("p_size")),
     ]
     inclusion = [
         sources.edges(t("nation"), key("region", "n_regionkey"), key("nation", "n_nationkey"), c("n_nationkey")),
@@ -79,8 +84,9 @@ def geo(spark: SparkSession, sf_dir: str) -> sources.Corpus:
     ]
     from functools import reduce
 
-    every = lambda parts: reduce(DataFrame.unionByName, parts)
-    return sources.Corpus(every(docs), every(inclusion), every(reference))
+    every = lambda parts: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    documents = every(docs)
+    return sources.Corpus(documents, every(inclusion), every(reference), {}, sources.typed_columns(documents))
 
 
 GEO = """WITH RECURSIVE docs AS (

@@ -167,3 +167,34 @@ def test_sort(spark):
     assert asc == ["b", "z", "i", "d", "g", "a", "j", "h", "c", "e", "f"]
     desc = [r["key"] for r in df.orderBy(*fields.sort_columns(F.col("fm"), ir.Sort(("v",), True)), "key").collect()]
     assert desc == ["f", "e", "c", "h", "j", "a", "g", "d", "i", "b", "z"]
+
+
+def test_typed_columns_agree_with_the_variant(spark):
+    from quillon.functions.fields import typed_test
+    from quillon.plans import ir
+
+    rng = random.Random(5)
+    rows = [(i, rng.choice([None, 1, 2, 3]), rng.choice([None, "a", "b", "2"])) for i in range(30)]
+    df = spark.createDataFrame(rows, "i int, n int, s string").withColumn("fm", F.parse_json(F.to_json(F.struct("n", "s")))).cache()
+    columns = []
+    for name, kind in (("n", "number"), ("s", "string")):
+        for op, arg in [("eq", 2), ("eq", "2"), ("eq", None), ("ne", 2), ("ne", "a"), ("gt", 1), ("lte", "a"), ("gte", 1.5), ("in", (1, "a", None)), ("nin", (2, "b")), ("exists", True), ("exists", False), ("type", ("number", "null")), ("not", (ir.FieldTest((name,), "gt", 1), ir.FieldTest((name,), "lt", 3)))]:
+            t = ir.FieldTest((name,), op, arg)
+            columns += [(t, typed_test(F.col(name), kind, t), fields.field_test(F.col("fm"), t))]
+    got = df.select(*[c for i, (_, a, b) in enumerate(columns) for c in (a.alias(f"a{i}"), b.alias(f"b{i}"))]).collect()
+    for r in got:
+        for i, (t, _, _) in enumerate(columns):
+            assert r[f"a{i}"] is r[f"b{i}"], t
+
+
+def test_typed_filters_reach_the_scan(spark):
+    from quillon import queries
+    from quillon.plans import compile as plans
+
+    plan = lambda df: df._jdf.queryExecution().toString()
+    text = plan(plans.select(queries.texts(spark, "/root/testdata/sf0.001"), parse.parse_filter_expression("{lang: fr, n_chars: {$gt: 100}}")).select("key"))
+    assert "EqualTo(lang,fr)" in text and "GreaterThan(n_chars,100)" in text
+    # branches of a union whose kind differs are not read at all
+    text = plan(plans.select(queries.geo(spark, "/root/testdata/sf0.001"), parse.parse_filter_expression("kind: nation")).select("key"))
+    physical = text[text.index("== Physical Plan ==") :]
+    assert physical.count("FileScan parquet") == 1 and "n_nationkey" in physical
