@@ -33,11 +33,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the texts; no document goes. n_chars follows a changed text."""
-    columns = docs.columns
-    clean = docs.withColumn("clean_text", secrets.redact(F.col("text")))
-    changed = ~F.col("clean_text").eqNullSafe(F.col("text"))
-    clean = clean.withColumn("n_chars", F.when(changed, F.char_length("clean_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return clean.withColumn("text", F.col("clean_text")).select(*columns)
+    clean = secrets.redact(docs["text"])
+    length = F.when(~clean.eqNullSafe(docs["text"]), F.char_length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"])
+    return docs.select(*[{"text": clean, "n_chars": length}.get(c, docs[c]).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

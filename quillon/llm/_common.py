@@ -65,6 +65,34 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, "1000")
 
 
+#: Slots of a bit filter: 2^24, packed into at most 262,144 words of 64.
+FILTER_BITS = 24
+
+
+def _slot(key: Column) -> tuple[Column, Column]:
+    """The word of a key's slot, and the slot's bit in it."""
+    place = F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))
+    return F.floor(place / 64).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+
+
+def bit_filter(keys: DataFrame, key: str) -> DataFrame:
+    """(_quillon_word, _quillon_bits): a set of keys as bits, 4 MB at most whatever the number of keys."""
+    word, bit = _slot(F.col(key))
+    return keys.select(word.alias("_quillon_word"), bit.alias("bit")).groupBy("_quillon_word").agg(F.bit_or("bit").alias("_quillon_bits"))
+
+
+def split_by_filter(rows: DataFrame, key: str, bits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key may be in the set, and rows whose key is not; the filter is broadcast, no row moves.
+
+    A null key is in no set.
+    """
+    word, bit = _slot(F.col(key))
+    columns = [F.col(c) for c in rows.columns]
+    marked = rows.withColumn("_quillon_word", F.when(F.col(key).isNotNull(), word)).join(F.broadcast(bits), "_quillon_word", "left")
+    maybe = F.coalesce(F.col("_quillon_bits").bitwiseAND(bit) != 0, F.lit(False))
+    return marked.where(maybe).select(*columns), marked.where(~maybe).select(*columns)
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator reads, under fixed names; other columns can't clash."""
     small_batches(docs.sparkSession)

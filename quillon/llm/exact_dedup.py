@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import staged
+from ._common import bit_filter, split_by_filter, staged
 
 #: Most digests that are broadcast, and counters of each partition's Misra-Gries table.
 HEAVY = 1024
@@ -105,5 +105,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     winners = staged(_winners(thin, heavy), "exact-winners")
     # frequent texts lose all but their winner here, before the shuffle
     left = keyed.join(F.broadcast(winners), "digest", "left").where(F.col("group_size").isNull() | (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("len") == F.col("keep_len"))))
+    # only texts that occur again are shuffled; a filter of fixed size lets the others pass
+    again = thin.groupBy("digest").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("digest")
+    maybe, single = split_by_filter(left, "digest", bit_filter(again, "digest"))
     first = F.row_number().over(Window.partitionBy("digest").orderBy(*_order()))
-    return left.withColumn("place", first).where("place = 1").select("row.*")
+    kept = maybe.withColumn("place", first).where("place = 1")
+    return kept.select("row.*").unionByName(single.select("row.*"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import id_text, int64, ragged, slices, staged, text_bytes
+from ._common import bit_filter, id_text, int64, ragged, slices, split_by_filter, staged, text_bytes
 from .components import components
 
 SHINGLE = 5
@@ -214,6 +214,8 @@ def _link(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, perce
     """Confirmed links (u, v) that join every two classes which any chain of similar pairs joins."""
     nodes = members.select("node").distinct()
     texts = id_text(docs, id_col, text_col).withColumnRenamed("doc_id", "node")
+    # most documents have no candidate: a filter of fixed size keeps their texts out of the shuffle
+    texts, _ = split_by_filter(texts, "node", bit_filter(nodes, "node"))
     texts = texts.join(nodes, "node", "left_semi")
     # an id that several rows share has a set for each of its texts
     sets = full_sets(texts if unique else texts.dropDuplicates(["node", "text"]), size)
@@ -264,4 +266,5 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stay: of each component, the one with the smallest id."""
     found = near_duplicates(docs, id_col, text_col, percent)
     gone = staged(found.where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct(), "minhash-gone")
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    maybe, stay = split_by_filter(docs, id_col, bit_filter(gone, id_col))
+    return maybe.join(gone, id_col, "left_anti").select(*docs.columns).unionByName(stay)

@@ -62,6 +62,16 @@ QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_minhash, op3_secret_scan, o
 def oracle_sql() -> dict[str, str]:
     table = ",".join(map(str, sharding.fill(SHARDS)))
     return {
+        "op2_minhash": r"""
+            WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+            s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w),
+            n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM s), u AS (SELECT doc_id, unnest(sh) AS h FROM s),
+            pr AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM u a JOIN u b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+            lk AS (SELECT x, y FROM pr JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+            ed AS (SELECT x, y FROM lk UNION ALL SELECT y, x FROM lk),
+            rc AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT rc.a, ed.y FROM rc JOIN ed ON ed.x = rc.b),
+            m AS (SELECT a AS doc_id, min(b) AS component_id FROM rc GROUP BY a)
+            SELECT n.doc_id, n.n AS n_shingles, component_id, n.doc_id = component_id AS kept FROM n JOIN m USING (doc_id)""",
         "op8_exact_dedup": r"""
             WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS len, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents),
             g AS (SELECT doc_id, h, first_value(doc_id) OVER (PARTITION BY h ORDER BY len DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size FROM d)
