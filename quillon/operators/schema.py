@@ -232,7 +232,42 @@ _SECTION = {"header", "maxTokens", "maxDepth", "minContains", "maxContains", "de
 _DOCUMENT = {"$schema", "description", "frontmatter", "maxTokens", "maxDepth", "allSections", "sections", "additionalSections", "blocks", "additionalBlocks", "allBlocks"}
 _HEADER = {"pattern", "const", "enum", "minLength", "maxLength", "maxTokens", "description"}
 _REDUCED = {"header", "maxTokens", "maxDepth", "description"}
-KINDS = ("paragraph", "list", "quote", "code", "table", "ref", "hr")
+KINDS = ("paragraph", "bullet-list", "ordered-list", "code", "quote", "table", "rule")
+_LISTS = {"bullet-list", "ordered-list"}
+_BLOCK = {"type", "text", "maxTokens", "minContains", "maxContains", "description"}
+#: Keywords that only some types take.
+_ONLY = {"lang": {"code"}, "items": _LISTS, "minItems": _LISTS, "maxItems": _LISTS, "blocks": {"quote"}, "additionalBlocks": {"quote"}, "allBlocks": {"quote"}}
+_ITEM = {"text", "maxTokens", "description", "blocks", "additionalBlocks", "allBlocks"}
+_REDUCED_BLOCK = {"text", "maxTokens", "description"}
+#: The part of a text schema that decides what binds.
+_IDENTITY = ("const", "enum", "pattern")
+
+
+def _types(entry: dict) -> list[str]:
+    given = entry.get("type", list(KINDS))
+    return given if isinstance(given, list) else [given]
+
+
+def _check_blocks(schema: dict, where: str) -> None:
+    """Block entries below a document, section, quote or item."""
+    seen = []
+    for i, s in enumerate(schema.get("blocks", [])):
+        here = f"{where}/blocks/{i}"
+        check_schema(s, here, _BLOCK | set(_ONLY))
+        if unknown := [t for t in _types(s) if t not in KINDS]:
+            raise SchemaError(f"{here}: unknown type {unknown[0]!r}")
+        for k, kinds in _ONLY.items():
+            if k in s and not set(_types(s)) <= kinds:
+                raise SchemaError(f"{here}: {k} does not go with {', '.join(_types(s))}")
+        same = (_types(s), {k: v for k, v in s.get("text", {}).items() if k in _IDENTITY}, s.get("lang"))
+        if same in seen:
+            raise SchemaError(f"{here}: an entry before it takes every such block")
+        seen.append(same)
+        if "items" in s:
+            check_schema(s["items"], f"{here}/items", _ITEM)
+    for k in ("allBlocks", "additionalBlocks"):
+        if isinstance(schema.get(k), dict):
+            check_schema(schema[k], f"{where}/{k}", _REDUCED_BLOCK)
 
 
 def check_schema(schema: dict, where: str = "", known: set[str] = _DOCUMENT) -> None:
@@ -243,10 +278,12 @@ def check_schema(schema: dict, where: str = "", known: set[str] = _DOCUMENT) ->
         raise SchemaError(f"{where}: unknown keyword {sorted(extra)[0]!r}")
     if schema.get("$schema", DIALECT) != DIALECT:
         raise SchemaError(f"unknown dialect {schema['$schema']!r}")
-    if "header" in schema:
-        check_schema(schema["header"], f"{where}/header", _HEADER)
-        if "const" in schema["header"] and "enum" in schema["header"]:
-            raise SchemaError(f"{where}/header: enum and const can't be combined")
+    for name in ("header", "text", "lang"):
+        if name in schema:
+            check_schema(schema[name], f"{where}/{name}", _HEADER)
+            if "const" in schema[name] and "enum" in schema[name]:
+                raise SchemaError(f"{where}/{name}: enum and const can't be combined")
+    _check_blocks(schema, where)
     entries = schema.get("sections", [])
     for i, s in enumerate(entries):
         check_schema(s, f"{where}/sections/{i}", _SECTION)
@@ -255,7 +292,7 @@ def check_schema(schema: dict, where: str = "", known: set[str] = _DOCUMENT) ->
     for k in ("allSections", "additionalSections"):
         if isinstance(schema.get(k), dict):
             check_schema(schema[k], f"{where}/{k}", _REDUCED)
-    for k in ("minContains", "maxContains", "maxTokens", "maxDepth"):
+    for k in ("minContains", "maxContains", "maxTokens", "maxDepth", "minItems", "maxItems", "minLength", "maxLength"):
         if k in schema and not _is(schema[k], "integer"):
             raise SchemaError(f"{where}/{k} must be an integer")
 
@@ -268,6 +305,25 @@ def header_errors(schema: dict, text: str) -> list[tuple[str, str]]:
     return out
 
 
+def _binds(schema: dict, text: str) -> bool:
+    return not header_errors({k: v for k, v in schema.items() if k in _IDENTITY}, text)
+
+
+def kind_of(node: Node) -> str:
+    return {"list": "ordered-list" if node.ordered else "bullet-list", "ref": "paragraph", "hr": "rule"}.get(node.kind, node.kind)
+
+
+def _own(node: Node) -> str:
+    """A block's plain text; containers have none."""
+    if node.kind in ("list", "quote", "hr"):
+        return ""
+    if node.kind == "table":
+        return "\n".join(" ".join(markdown.plain_inline(c) for c in r) for r in node.rows)
+    if node.kind == "ref":
+        return node.text or node.lang or node.target or ""
+    return node.text or "" if node.kind == "code" else markdown.plain_inline(node.text)
+
+
 def _name(entry: dict, i: int) -> str:
     h = entry.get("header", {})
     return str(h.get("const") or h.get("enum") or h.get("pattern") or f"#{i + 1}")
@@ -294,74 +350,93 @@ class _Checker:
         self.tokens([node], schema, path)
         self.depth(node.children, schema, path)
 
-    def level(self, nodes: list[Node], schema: dict, path: str, inherited: list[dict]) -> None:
-        """The sections among ``nodes`` against the entries of ``schema``: in order, greedy, no way back."""
-        everywhere = inherited + ([schema["allSections"]] if "allSections" in schema else [])
-        entries = schema.get("sections", [])
-        at, bound = 0, [0] * len(entries)
-        self.content([n for n in nodes if n.kind != "header"], schema, path)
-        for node in (n for n in nodes if n.kind == "header"):
+    def matched(self, things: list, entries: list[dict], fits) -> list[int | None]:
+        """The entry of each thing: in order, greedy, no way back."""
+        at, out = 0, []
+        for thing in things:
+            hit = next((i for i in range(at, len(entries)) if fits(entries[i], thing)), None)
+            at = at if hit is None else hit
+            out.append(hit)
+        return out
+
+    def occurrences(self, hits: list[int | None], entries: list[dict], path: str, what, hint: str | None) -> None:
+        for i, entry in enumerate(entries):
+            n, high = hits.count(i), entry.get("maxContains")
+            if n < entry.get("minContains", 1):
+                self.bad(path or "/", "minContains", f"required {what(entry, i)} missing", entry.get("description", hint))
+            if high is not None and n > high:
+                self.bad(path or "/", "maxContains", f"{what(entry, i)} occurs {n} times (limit {high})", entry.get("description", hint))
+
+    def level(self, nodes: list[Node], schema: dict, path: str, sections: list[dict], blocks: list[dict]) -> None:
+        """Content blocks, then sections, of a document or section against its schema."""
+        hint = schema.get("description")
+        sections = sections + ([schema["allSections"]] if "allSections" in schema else [])
+        blocks = self.content([n for n in nodes if n.kind != "header"], schema, path, blocks)
+        heads, entries = [n for n in nodes if n.kind == "header"], schema.get("sections", [])
+        hits = self.matched(heads, entries, lambda e, n: _binds(e.get("header", {}), markdown.plain_inline(n.text)))
+        for node, hit in zip(heads, hits, strict=True):
             title = markdown.plain_inline(node.text)
             here = f"{path}/{title}"
-            for s in everywhere:
+            for s in sections:
                 self.reduced(node, s, here)
-            hit = next((i for i in range(at, len(entries)) if not header_errors(entries[i].get("header", {}), title)), None)
             self.trace.append((here, "additional" if hit is None else _name(entries[hit], hit)))
+            entry = {} if hit is None else entries[hit]
             if hit is None:
                 rest = schema.get("additionalSections", True)
                 if rest is False:
-                    self.bad(here, "additionalSections", "section is not allowed here", schema.get("description"))
+                    self.bad(here, "additionalSections", "section is not allowed here", hint)
                 elif isinstance(rest, dict):
                     self.reduced(node, rest, here)
-                self.level(node.children, {}, here, everywhere)
             else:
-                at = hit
-                bound[hit] += 1
-                entry = entries[hit]
-                self.tokens([node], entry, here)
-                self.depth(node.children, entry, here)
-                self.level(node.children, entry, here, everywhere)
-        for i, entry in enumerate(entries):
-            low, high = entry.get("minContains", 1), entry.get("maxContains")
-            if bound[i] < low:
-                self.bad(path or "/", "minContains", f"lacks section {_name(entry, i)}", entry.get("description"))
-            if high is not None and bound[i] > high:
-                self.bad(path or "/", "maxContains", f"has section {_name(entry, i)} {bound[i]} times, at most {high} allowed", entry.get("description"))
-
-    def content(self, nodes: list[Node], schema: dict, path: str) -> None:
-        """Content blocks against block entries: same matching, by kind."""
+                self.reduced(node, entry, here)
+            self.level(node.children, entry, here, sections, blocks)
+        self.occurrences(hits, entries, path, lambda e, i: f"section {_name(e, i)!r}", hint)
+
+    def content(self, nodes: list[Node], schema: dict, path: str, everywhere: list[dict]) -> list[dict]:
+        """Content blocks against the block entries of their container; gives the schemas for all blocks below."""
+        everywhere = everywhere + ([schema["allBlocks"]] if "allBlocks" in schema else [])
         entries = schema.get("blocks", [])
-        at, bound = 0, [0] * len(entries)
-        for node in nodes:
-            if isinstance(schema.get("allBlocks"), dict):
-                self.block(node, schema["allBlocks"], path)
-            hit = next((i for i in range(at, len(entries)) if entries[i].get("type", node.kind) == node.kind), None)
-            if hit is None:
-                rest = schema.get("additionalBlocks", True)
-                if rest is False:
-                    self.bad(path or "/", "additionalBlocks", f"{node.kind} is not allowed here", schema.get("description"))
-                elif isinstance(rest, dict):
-                    self.block(node, rest, path)
-            else:
-                at = hit
-                bound[hit] += 1
-                self.block(node, entries[hit], path)
-        for i, entry in enumerate(entries):
-            if bound[i] < entry.get("minContains", 1):
-                self.bad(path or "/", "minContains", f"lacks a {entry.get('type', 'block')}", entry.get("description"))
-            if bound[i] > entry.get("maxContains", bound[i]):
-                self.bad(path or "/", "maxContains", f"has {bound[i]} {entry.get('type', 'block')}s", entry.get("description"))
+
+        def fits(entry: dict, node: Node) -> bool:
+            return kind_of(node) in _types(entry) and _binds(entry.get("text", {}), _own(node)) and ("lang" not in entry or _binds(entry["lang"], node.lang))
+
+        hits = self.matched(nodes, entries, fits)
+        for k, (node, hit) in enumerate(zip(nodes, hits, strict=True)):
+            here = f"{path}/blocks[{k}]"
+            for s in everywhere:
+                self.block(node, s, here)
+            entry = {} if hit is None else entries[hit]
+            if hit is not None:
+                self.block(node, entry, here)
+            elif schema.get("additionalBlocks", True) is False:
+                self.bad(here, "additionalBlocks", f"{kind_of(node)} is not allowed here", schema.get("description"))
+            elif isinstance(schema.get("additionalBlocks"), dict):
+                self.block(node, schema["additionalBlocks"], here)
+            if node.kind == "quote":
+                self.content(node.children, entry, here, everywhere)
+            elif node.kind == "list":
+                self.items(node, entry, here, everywhere)
+        self.occurrences(hits, entries, path, lambda e, i: f"block {(e.get('text') or {}).get('const') or (e.get('text') or {}).get('enum') or e.get('type') or '#%d' % (i + 1)!r}", schema.get("description"))
+        return everywhere
+
+    def items(self, node: Node, entry: dict, path: str, everywhere: list[dict]) -> None:
+        n = len(node.children)
+        for k, bad in (("minItems", n < entry.get("minItems", 0)), ("maxItems", n > entry.get("maxItems", n))):
+            if bad:
+                self.bad(path, k, f"has {n} items (limit {entry[k]})", entry.get("description"))
+        inner = entry.get("items", {})
+        for k, item in enumerate(node.children):
+            here = f"{path}/items[{k}]"
+            for s in [*everywhere, inner]:
+                self.block(item, s, here)
+            self.content(item.children, inner, here, everywhere)
 
     def block(self, node: Node, schema: dict, path: str) -> None:
-        if "type" in schema and schema["type"] != node.kind:
-            self.bad(path or "/", "type", f"{node.kind} where a {schema['type']} is due", schema.get("description"))
-        text = schema.get("text")
-        if isinstance(text, dict):
-            for keyword, message in header_errors(text, markdown.plain_inline(node.text)):
-                self.bad(path or "/", f"text/{keyword}", message, schema.get("description"))
-        if "lang" in schema and node.kind == "code" and node.lang != schema["lang"]:
-            self.bad(path or "/", "lang", f"code in {node.lang or 'no language'}, not {schema['lang']}", schema.get("description"))
-        self.tokens([node], schema, path or "/")
+        """Text, language and size of a block or item."""
+        for name, text in (("text", _own(node)), ("lang", node.lang)):
+            for keyword, message in header_errors(schema.get(name, {}), text):
+                self.bad(path, f"{name}/{keyword}", message, schema.get(name, {}).get("description", schema.get("description")))
+        self.tokens([node], schema, path)
 
 
 def _deepest(nodes: list[Node]) -> int:
@@ -389,7 +464,7 @@ def _check(key: str, content: str, schema: dict) -> _Checker:
         checker.out += [(f"frontmatter{p}", k, m) for p, k, m in json_errors(schema["frontmatter"], json.loads(yamlcore.to_json(fm)))]
     checker.tokens(tree, schema, "/")
     checker.depth(tree, schema, "/")
-    checker.level(tree, schema, "", [])
+    checker.level(tree, schema, "", [], [])
     return checker
 
 

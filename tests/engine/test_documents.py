@@ -317,6 +317,16 @@ def test_schema_validation(notes):
     for bad in ({"nope": 1}, {"sections": [{}, {"header": {"const": "a"}}]}, {"$schema": "x"}):
         with pytest.raises(schema.SchemaError):
             schema.check_schema(bad)
+    d = lambda sc, text: [(p, k) for p, k, _ in schema.validate_document("k", text, sc)]
+    hub = {"sections": [{"header": {"pattern": ".+"}, "blocks": [{"type": "paragraph", "maxContains": 1}, {"type": "bullet-list", "minItems": 2, "items": {"text": {"maxLength": 5}}}], "additionalBlocks": False}]}
+    schema.check_schema(hub)
+    assert d(hub, "# A\n\nlead\n\n- one\n- two\n") == []
+    assert d(hub, "# A\n\nlead\n\n- longer text\n\n```\nx\n```\n") == [("/A/blocks[1]", "minItems"), ("/A/blocks[1]/items[0]", "text/maxLength"), ("/A/blocks[2]", "additionalBlocks")]
+    assert d({"blocks": [{"type": "code", "lang": {"enum": ["py"]}, "maxContains": 1}]}, "```js\nx\n```\n") == [("/", "minContains")]
+    assert d({"allBlocks": {"text": {"maxLength": 3}}}, "> long quote\n\n- ab\n  - abcd\n") == [("/blocks[0]/blocks[0]", "text/maxLength"), ("/blocks[1]/items[0]/blocks[0]/items[0]", "text/maxLength")]
+    for bad in ({"blocks": [{"type": "paragraph", "lang": {}}]}, {"blocks": [{"type": "nope"}]}, {"blocks": [{"type": "code"}, {"type": "code"}]}, {"allBlocks": {"type": "code"}}):
+        with pytest.raises(schema.SchemaError):
+            schema.check_schema(bad)
     e = lambda sc, v: [k for _, k, _ in schema.json_errors(sc, v)]
     assert e({"type": "integer", "minimum": 3}, 2) == ["minimum"] and e({"anyOf": [{"type": "string"}, {"const": 2}]}, 2) == []
     assert e({"$defs": {"a": {"type": "string"}}, "properties": {"x": {"$ref": "#/$defs/a"}}}, {"x": 1}) == ["type"]
