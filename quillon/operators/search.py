@@ -36,72 +36,84 @@ def simple_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"))
 
 
+# Words that the English stemmer treats by themselves.
+_FORMS = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl"} | {w: w for w in ("sky", "news", "howe", "atlas", "cosmos", "bias", "andes")}
+_STEMS = {"inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed"}
+# Endings and what they become, longest first at equal places.
+_STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "abli": "able", "entli": "ent", "izer": "ize", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "aliti": "al", "alli": "al", "fulness": "ful", "ousli": "ous", "ousness": "ous", "iveness": "ive", "iviti": "ive", "biliti": "ble", "bli": "ble", "ogi": "og", "fulli": "ful", "lessli": "less", "li": ""}
+_STEP3 = {"ational": "ate", "tional": "tion", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "", "ness": "", "ative": ""}
+_STEP4 = ("ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion", "al", "er", "ic")
+
+
+def _ending(word: str, endings) -> str | None:
+    return next((e for e in sorted(endings, key=len, reverse=True) if word.endswith(e)), None)
+
+
 @lru_cache(maxsize=200_000)
 def stem(word: str) -> str:
-    """The English stemmer that Porter published, on lower-case ASCII words."""
-    if len(word) <= 2 or not word.isascii() or not word.isalpha():
+    """The Snowball stemmer for English, on lower-case words; words of other scripts stay."""
+    if len(word) <= 2 or not word.isascii():
         return word
-    w = word
-
-    def shape(s: str) -> str:
-        out = ""
-        for i, c in enumerate(s):
-            vowel = c in "aeiou" or (c == "y" and i > 0 and out[-1] == "c")
-            out += "v" if vowel else "c"
-        return out
-
-    def measure(s: str) -> int:
-        return len(re.findall("v+c+", shape(s)))
-
-    def has_vowel(s: str) -> bool:
-        return "v" in shape(s)
-
-    def short(s: str) -> bool:
-        return bool(re.search("cvc$", shape(s))) and s[-1] not in "wxy"
-
-    def swap(s: str, pairs, least: int) -> str:
-        for end, new in pairs:
-            if s.endswith(end):
-                base = s[: len(s) - len(end)]
-                return base + new if measure(base) > least else s
-        return s
-
-    for end, new in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
-        if w.endswith(end):
-            w = w[: len(w) - len(end)] + new
-            break
-    cut = None
-    if w.endswith("eed"):
-        w = w[:-1] if measure(w[:-3]) > 0 else w
-    elif w.endswith("ed") and has_vowel(w[:-2]):
-        cut = w[:-2]
-    elif w.endswith("ing") and has_vowel(w[:-3]):
-        cut = w[:-3]
-    if cut is not None:
-        if cut.endswith(("at", "bl", "iz")):
-            cut += "e"
-        elif len(cut) > 1 and cut[-1] == cut[-2] and shape(cut)[-1] == "c" and cut[-1] not in "lsz":
-            cut = cut[:-1]
-        elif measure(cut) == 1 and short(cut):
-            cut += "e"
-        w = cut
-    if w.endswith("y") and has_vowel(w[:-1]):
+    if word in _FORMS:
+        return _FORMS[word]
+    w = re.sub("(?<=[aeiouy])y|^y", "Y", word)
+    vowel = "aeiouy"
+
+    def region(s: str, start: int) -> int:
+        m = re.compile(f"[{vowel}][^{vowel}]").search(s, start)
+        return m.end() if m else len(s)
+
+    head = re.match("gener|commun|arsen", w)
+    r1 = head.end() if head else region(w, 0)
+    r2 = region(w, r1)
+
+    def short_end(s: str) -> bool:
+        return bool(re.search(f"(?:[^{vowel}][{vowel}][^{vowel}wxY]|^[{vowel}][^{vowel}])$", s))
+
+    # plurals
+    if w.endswith("sses"):
+        w = w[:-2]
+    elif w.endswith(("ied", "ies")):
+        w = w[:-2] if len(w) > 4 else w[:-1]
+    elif w.endswith("s") and not w.endswith(("us", "ss")) and re.search(f"[{vowel}].", w[:-1]):
+        w = w[:-1]
+    if w in _STEMS:
+        return w
+    # past and progressive
+    end = _ending(w, ("eed", "eedly", "ed", "edly", "ing", "ingly"))
+    if end in ("eed", "eedly"):
+        w = w[: -len(end)] + "ee" if len(w) - len(end) >= r1 else w
+    elif end and re.search(f"[{vowel}]", w[: -len(end)]):
+        w = w[: -len(end)]
+        if w.endswith(("at", "bl", "iz")):
+            w += "e"
+        elif re.search(r"(bb|dd|ff|gg|mm|nn|pp|rr|tt)$", w):
+            w = w[:-1]
+        elif short_end(w) and r1 >= len(w):
+            w += "e"
+    if len(w) > 2 and w[-1] in "yY" and w[-2] not in vowel:
         w = w[:-1] + "i"
-    w = swap(w, (("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble")), 0)
-    w = swap(w, (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")), 0)
-    for end in ("ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion", "al", "er", "ic", "ou"):
-        if w.endswith(end):
-            base = w[: len(w) - len(end)]
-            if measure(base) > 1 and (end != "ion" or base[-1:] in ("s", "t")):
-                w = base
-            break
-    if w.endswith("e"):
-        base = w[:-1]
-        if measure(base) > 1 or measure(base) == 1 and not short(base):
-            w = base
-    if w.endswith("ll") and measure(w) > 1:
+    # derivation
+    end = _ending(w, _STEP2)
+    if end and len(w) - len(end) >= r1:
+        base = w[: -len(end)]
+        if end == "ogi":
+            w = base + "og" if base.endswith("l") else w
+        elif end == "li":
+            w = base if base[-1:] and base[-1] in "cdeghkmnrt" else w
+        else:
+            w = base + _STEP2[end]
+    end = _ending(w, _STEP3)
+    if end and len(w) - len(end) >= (r2 if end == "ative" else r1):
+        w = w[: -len(end)] + _STEP3[end]
+    end = _ending(w, _STEP4)
+    if end and len(w) - len(end) >= r2 and (end != "ion" or w[: -len(end)].endswith(("s", "t"))):
+        w = w[: -len(end)]
+    if w.endswith("e") and (len(w) - 1 >= r2 or len(w) - 1 >= r1 and not short_end(w[:-1])):
+        w = w[:-1]
+    elif w.endswith("ll") and len(w) - 1 >= r2:
         w = w[:-1]
-    return w
+    return w.replace("Y", "y")
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -273,7 +273,8 @@ def test_search(spark):
     assert find("search: {lexical: citrus, fuzzy: two}") == ["2", "3"]
     assert search.subsequence_score("hello world", "hw") > search.subsequence_score("xhxxwx", "hw")
     assert search.subsequence_score("abc", "d") is None
-    assert [search.stem(w) for w in ("caresses", "ponies", "running", "relational", "hopping", "agreed")] == ["caress", "poni", "run", "relat", "hop", "agre"]
+    known = {"consistency": "consist", "consigned": "consign", "knackeries": "knackeri", "kneaded": "knead", "relational": "relat", "generously": "generous", "hopping": "hop", "hoping": "hope", "skies": "sky", "caresses": "caress", "ties": "tie", "agreed": "agre", "happily": "happili", "cry": "cri", "say": "say", "by": "by", "conditional": "condit", "falling": "fall", "controlling": "control", "beautiful": "beauti", "communism": "communism", "proceed": "proceed", "gas": "gas", "gaps": "gap"}
+    assert {w: search.stem(w) for w in known} == known
     assert search.sections(c, "orange", limit=3).count() == 3
 
 
