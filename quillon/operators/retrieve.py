@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tokens
+from ..plans.ranking import ranked, running
 from ..plans.staging import staged
 from . import graph
 
@@ -56,7 +57,7 @@ def retrieve(corpus, seeds: DataFrame, limit: int = 0, max_documents: int = 0, e
     cuts each content, ``max_tokens`` ends the list before the document that would exceed the budget.
     """
     if "ord" not in seeds.columns:
-        seeds = seeds.withColumn("ord", F.row_number().over(Window.orderBy("key")))
+        seeds = ranked(seeds.select("key"), ["key"], "ord")
     if limit:
         seeds = seeds.orderBy("ord").limit(limit)
     found = expand(corpus, seeds, **directions)
@@ -90,8 +91,7 @@ def budget(rows: DataFrame, order: list, max_tokens: int = 0, max_document_token
 
 def within(rows: DataFrame, order: list, most: int, size: str = "tokens") -> DataFrame:
     """The longest start of the rows whose sizes fit, one row that has any size at least."""
-    upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_sum", F.sum(size).over(upto)).withColumn("_before", F.coalesce(F.sum(size).over(before), F.lit(0)))
-    over = (F.col("_before") > 0) & (F.col("_sum") > most)
-    return rows.withColumn("_over", F.max(over.cast("int")).over(upto)).where("_over = 0").drop("_sum", "_before", "_over")
+    sums = running(rows, order, size, "_sum")
+    over = (F.col("_sum") > F.col(size)) & (F.col("_sum") > most)
+    stop = sums.where(over).agg(F.min("rank").alias("stop")).first()["stop"]
+    return (sums if stop is None else sums.where(F.col("rank") < stop)).drop("rank", "_sum")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans import ir
+from ..plans.ranking import ranked, tied
 from ..plans.staging import staged
 
 K1, B = 1.2, 0.75
@@ -239,8 +240,8 @@ def fused(rankings: list[DataFrame], candidates: DataFrame | None = None) -> Dat
     parts = []
     for ranking in rankings:
         rows = ranking if candidates is None else ranking.join(candidates.select("key"), "key", "left_semi")
-        rank = F.row_number().over(Window.orderBy(F.desc("score"), "key"))
-        parts.append(rows.select("key", (1.0 / (RRF + rank)).alias("part")))
+        placed = ranked(rows.select("key", "score"), [F.desc("score"), F.asc("key")])
+        parts.append(placed.select("key", (1.0 / (RRF + F.col("rank"))).alias("part")))
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
@@ -342,5 +343,7 @@ def sections(corpus, query: str, limit: int = 100, analyzer: str = "english") ->
 
     headers = corpus.blocks.where("kind = 'header'").select("key", "pos", F.concat_ws(" / ", F.concat("path", F.array("plain_text"))).alias("text"))
     rows = headers.withColumn("fuzzy", score("text")).join(bm25(corpus, query, analyzer).select("key", F.col("score").alias("lexical")), "key", "left").withColumn("lexical", F.coalesce("lexical", F.lit(0.0)))
-    part = lambda c: F.when(F.col(c) > 0, 1.0 / (RRF + F.rank().over(Window.orderBy(F.desc(c))))).otherwise(0.0)
+    for c in ("fuzzy", "lexical"):
+        rows = tied(rows, c, f"{c}_rank")
+    part = lambda c: F.when(F.col(c) > 0, 1.0 / (RRF + F.col(f"{c}_rank"))).otherwise(0.0)
     return rows.select("key", "pos", "text", (part("fuzzy") + part("lexical")).alias("score")).orderBy(F.desc("score"), "key", "pos").limit(limit)

@@ -17,6 +17,7 @@ from .operators import edits, export, graph, retrieve, schema, search, stats
 from .operators.evidence import evidence
 from .plans import compile as plans
 from .plans import ir, lowering, parse
+from .plans.ranking import ranked
 from .sources import files
 
 
@@ -52,11 +53,9 @@ class Workspace:
         depths = {names[k]: v or ir.UNBOUNDED for k, v in (expand or {}).items()}
         docs = self.corpus.documents.select("key")
         seeds = docs.where(F.col("key").isin(*keys)) if keys else docs
-        from pyspark.sql import Window
-
         if lexical is not None or fuzzy is not None:
             found = search.scores(self.corpus, ir.Search(lexical, fuzzy), seeds)
-            seeds = found.select("key", F.row_number().over(Window.orderBy(F.desc("score"), "key")).alias("ord"))
+            seeds = ranked(found, [F.desc("score"), F.asc("key")], "ord").select("key", "ord")
         elif keys:
             place = F.create_map(*[F.lit(x) for i, k in enumerate(dict.fromkeys(keys)) for x in (k, i)])
             seeds = seeds.select("key", F.element_at(place, F.col("key")).alias("ord"))

@@ -120,3 +120,20 @@ def test_expressions_with_the_parser(spark):
     rows = plans.find(c, "project: {key: $key, here: {$blocks: {$within: {}}}}").collect()
     assert [[b["type"] for b in r["here"]] for r in rows] == [["header", "paragraph"], []]
     assert parse.parse_blocks({}, "x") == ()
+
+
+def test_ranks_and_sums(spark):
+    from quillon.plans.ranking import ranked, running, tied
+
+    rng = random.Random(3)
+    values = [rng.randrange(12) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v int").repartition(5)
+    order = sorted(range(200), key=lambda i: (-values[i], i))
+    got = {r["i"]: r["rank"] for r in ranked(df, [F.desc("v"), F.asc("i")]).collect()}
+    assert got == {i: n + 1 for n, i in enumerate(order)}
+    assert {r["i"]: r["rank"] for r in tied(df, "v").collect()} == {i: 1 + sum(x > values[i] for x in values) for i in range(200)}
+    sums, total = {}, 0
+    for i in order:
+        total += values[i]
+        sums[i] = total
+    assert {r["i"]: r["total"] for r in running(df, [F.desc("v"), F.asc("i")], "v").collect()} == sums
