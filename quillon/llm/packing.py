@@ -17,7 +17,6 @@ ignored.
 
 from __future__ import annotations
 
-from array import array
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -140,77 +139,100 @@ def _tail(pieces: list[Piece], tokens: int, segments: int, loss: int) -> Iterato
 class WordTokenizer:
     """Whole-text ids of a BPE vocabulary that drops white space.
 
-    Such a vocabulary encodes what stands between two spaces by itself. So a block of texts is
-    reduced to its distinct words, and their ids are kept in two generations of a bounded cache.
+    Such a vocabulary encodes what stands between two spaces by itself. So a block of texts is reduced
+    to its distinct words, in Arrow, and only words that no recent block had are encoded. Known words and
+    their ids are plain arrays: a bounded number of them takes little memory.
     """
 
-    def __init__(self, path: str, cache: int = 200_000):
+    def __init__(self, path: str, cache: int = 400_000):
         from tokenizers import Tokenizer
 
         self.model, self.cache = Tokenizer.from_file(path), cache
-        self.young: dict[str, array] = {}
-        self.old: dict[str, array] = {}
-        words = self.model.get_vocab()
-        self.closes = np.zeros(max(words.values()) + 1, bool)
-        self.closes[[i for w, i in words.items() if w.endswith("</w>")]] = True
+        self.words = pa.array([], pa.string())
+        self.ids, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.seen, self.block = np.zeros(0, np.int64), 0  # the block that had each word last
+        names = self.model.get_vocab()
+        self.closes = np.zeros(max(names.values()) + 1, bool)
+        self.closes[[i for w, i in names.items() if w.endswith("</w>")]] = True
         self.stops = {c: self._apart([c])[0] for c in _STOPS}
 
-    def _alphabetic(self, words: list[str]) -> list[array]:
-        """Ids of words of letters alone, all in one call: each ends with the one id that closes a word."""
+    def _alphabetic(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of words of letters alone, in one call: each ends with the one id that closes a word."""
         ids = np.array(self.model.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self.closes[ids]) + 1
         if len(ends) != len(words):  # a letter whose lower case is no letter
             return self._apart(words)
-        raw, at, out = ids.tobytes(), 0, []
-        for end in (4 * ends).tolist():
-            out.append(array("I", raw[at:end]))
-            at = end
-        return out
-
-    def _apart(self, words: list[str]) -> list[array]:
-        return [array("I", e.ids) for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _ids(self, words: list[str]) -> list[array]:
-        young, old = self.young, self.old
-        cores = [w[:-1] if w[-1:] in _STOPS and w[-2:-1].isalpha() else w for w in words]
-        unknown: set[str] = set()
-        for w in cores:
-            if w not in young:
-                if w in old:
-                    young[w] = old[w]
-                else:
-                    unknown.add(w)
-        for known, learn in ((True, self._alphabetic), (False, self._apart)):
-            part = [w for w in unknown if w.isalpha() == known]
+        return ids, np.diff(ends, prepend=0)
+
+    def _apart(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
+
+    def _learn(self, words: pa.Array) -> None:
+        alphabetic = pc.utf8_is_alpha(words)
+        known, ids, sizes = [self.words], [self.ids], [self.size]
+        for part, learn in ((words.filter(alphabetic), self._alphabetic), (words.filter(pc.invert(alphabetic)), self._apart)):
             for start in range(0, len(part), 20_000):
-                some = part[start : start + 20_000]
-                young.update(zip(some, learn(some), strict=True))
-        out = [young[c] if c is w or len(c) == len(w) else young[c] + self.stops[w[-1]] for c, w in zip(cores, words, strict=True)]
-        if len(young) > self.cache:
-            # a bound on words is a bound on memory only without the rare very long ones
-            self.young, self.old = {}, {w: v for w, v in young.items() if len(w) <= 64}
-        return out
+                some = part.slice(start, 20_000)
+                new = learn(some.to_pylist())
+                known.append(some)
+                ids.append(new[0])
+                sizes.append(new[1])
+        self.words, self.ids, self.size = pa.concat_arrays(known), np.concatenate(ids), np.concatenate(sizes)
+        self.begin = np.cumsum(self.size) - self.size
+        self.seen = np.concatenate([self.seen, np.zeros(len(self.words) - len(self.seen), np.int64)])
+
+    def _forget(self) -> None:
+        """Keeps the words of the latest blocks, about half of the cache; long words are never kept."""
+        if len(self.words) <= self.cache:
+            return
+        oldest = np.partition(self.seen, len(self.seen) - self.cache // 2)[len(self.seen) - self.cache // 2]
+        keep = (self.seen >= oldest) & (pc.binary_length(self.words).to_numpy(zero_copy_only=False) <= 64)
+        self.ids = self.ids[np.repeat(keep, self.size)]
+        self.words, self.size, self.seen = self.words.filter(pa.array(keep)), self.size[keep], self.seen[keep]
+        self.begin = np.cumsum(self.size) - self.size
 
     def encode_block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and the number of ids of each; null is empty."""
-        texts = pc.fill_null(texts, "")
+        texts = pc.fill_null(texts.cast(pa.string()), "")
         if not pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens are told apart by case
             texts = pc.ascii_lower(texts)
         split = pc.ascii_split_whitespace(texts)
         if isinstance(split, pa.ChunkedArray):
             split = split.combine_chunks()
         coded = split.flatten().dictionary_encode()
-        ids = self._ids(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        begin = np.cumsum(sizes) - sizes
-        words = coded.indices.to_numpy(zero_copy_only=False)
-        each = sizes[words]
-        ends = np.cumsum(each)
-        spread = np.repeat(begin[words] - (ends - each), each)
-        spread += np.arange(len(spread))
-        bounds = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()] if len(split) else np.zeros(1, np.int64)
-        return flat[spread], np.diff(bounds)
+        words = coded.dictionary
+        # a stop after a letter is a word of its own, so fewer words differ
+        cores = pc.replace_substring_regex(words, r"(\pL)[.,]$", r"\1")
+        cut = pc.not_equal(pc.binary_length(cores), pc.binary_length(words)).to_numpy(zero_copy_only=False)
+        place = pc.index_in(cores, self.words)
+        if place.null_count:
+            self._learn(pc.unique(cores.filter(pc.is_null(place))))
+            place = pc.index_in(cores, self.words)
+        place = place.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.block += 1
+        self.seen[place] = self.block
+        # ids of the distinct words, each core with its stop
+        core = self.size[place]
+        sizes = core + cut
+        ends = np.cumsum(sizes)
+        flat = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+        flat[_runs(ends - sizes, core)] = self.ids[_runs(self.begin[place], core)]
+        dots = pc.ends_with(words, ".").to_numpy(zero_copy_only=False)
+        flat[ends[cut] - 1] = np.where(dots[cut], self.stops["."][0], self.stops[","][0])
+        # ids of the texts
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        each = sizes[index]
+        out = flat[_runs((ends - sizes)[index], each)]
+        bounds = np.concatenate([[0], np.cumsum(each)])[split.offsets.to_numpy() - split.offsets[0].as_py()] if len(split) else np.zeros(1, np.int64)
+        self._forget()
+        return out, np.diff(bounds)
+
+
+def _runs(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... for size[0] numbers, then the same from begin[1], and so on."""
+    ends = np.cumsum(size)
+    return np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 @lru_cache(maxsize=2)
