@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
+from ._common import staged
 
 #: Lengths in a block of the two-level sums.
 BLOCK = 1024
@@ -63,5 +64,5 @@ def limits(hist: DataFrame) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **encoder) -> DataFrame:
-    """``limits`` over all whole documents."""
-    return limits(histogram(bpe.lengths(docs, id_col, text_col, **encoder)))
+    """``limits`` over all whole documents, which are encoded once."""
+    return limits(staged(histogram(bpe.lengths(docs, id_col, text_col, **encoder)), "lengths"))
