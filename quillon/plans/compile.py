@@ -44,10 +44,11 @@ class _Selection:
         rest = [p for p in parts if p not in plain]
         missing = self.dangling and any(r.size is None for r in _relations(node))
         if plain and missing and plain[0].size is None:
-            # rows start from the keys that the relation finds, documents or not
+            # documents are reduced by a semi-join, which broadcasts a small key set; keys without a document
+            # are looked up in the key column alone
             keys = self._keys(plain[0])
-            docs = self.rows
-            self.rows = keys.join(docs, "key", "left").withColumn("is_document", F.coalesce("is_document", F.lit(False)))
+            lost = keys.join(self.rows.select("key"), "key", "left_anti").withColumn("is_document", F.lit(False))
+            self.rows = self.rows.join(keys, "key", "left_semi").unionByName(lost, allowMissingColumns=True)
             plain = plain[1:]
         elif missing:
             self._add_missing()
