@@ -26,7 +26,7 @@ def walk(edges: DataFrame, starts: DataFrame, high: int, by: tuple[str, ...] = (
     Starts themselves are not in the result of their own walk.
     """
     ids = [*by, "key"]
-    hops = edges.select("src", "dst").distinct()
+    hops = edges.select("src", "dst")  # repeated edges make repeated rows, which each hop removes
     if high == 1:
         found = starts.join(hops, starts["key"] == hops["src"]).select(*by, F.col("dst").alias("key"), F.lit(1).alias("depth"))
         return found.distinct().join(starts.select(*ids), ids, "left_anti")
@@ -35,7 +35,7 @@ def walk(edges: DataFrame, starts: DataFrame, high: int, by: tuple[str, ...] = (
     depth = 0
     looped = high > UNROLL
     if looped:
-        hops, seen = staged(hops, "hops"), staged(seen, "seen")
+        hops, seen = staged(hops.distinct(), "hops"), staged(seen, "seen")
         front = seen.drop("depth")
     parts = [seen]
     while depth < high:
@@ -68,10 +68,9 @@ def related(corpus, relation: ir.Relation, anchors: DataFrame) -> DataFrame:
     """
     edges = _directed(corpus, relation.kind, True)
     anchors = anchors.select("key")
-    if relation.low == 1:
-        found = walk(edges, anchors, relation.high)
-    else:
-        found = walk(edges, anchors.withColumn("anchor", F.col("key")), relation.high, ("anchor",)).where(F.col("depth") >= relation.low)
+    if relation.low == 1:  # one walk from all anchors, which leaves them out
+        return walk(edges, anchors, relation.high).select("key")
+    found = walk(edges, anchors.withColumn("anchor", F.col("key")), relation.high, ("anchor",)).where(F.col("depth") >= relation.low)
     return found.select("key").distinct().join(anchors, "key", "left_anti")
 
 

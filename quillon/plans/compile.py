@@ -19,6 +19,7 @@ from ..operators import graph
 from ..sources.corpus import Corpus
 from . import ir
 from .parse import QueryError, parse, parse_filter_expression
+from .staging import staged
 
 _NEEDS_ROWS = (ir.Relation, ir.All, ir.AnyOf, ir.NoneOf)
 
@@ -66,9 +67,16 @@ class _Selection:
         self.rows = self.rows.unionByName(keys.withColumn("is_document", F.lit(False)), allowMissingColumns=True)
 
     def _keys(self, relation: ir.Relation) -> DataFrame:
-        anchors = matching_keys(self.corpus, relation.match, self.dangling)
+        match = relation.match
         if relation.size is None:
+            if isinstance(match, ir.KeyTest) and match.op in ("eq", "in") and relation.kind in ("includedBy", "referencedBy"):
+                # walks start at these keys; one without a document has no edge to start with
+                anchors = self.corpus.spark.range(1).select(F.explode(F.array(*map(F.lit, dict.fromkeys(match.keys)))).alias("key"))
+            else:
+                # a walk needs its anchors several times, and they may take a scan of the corpus to find
+                anchors = staged(matching_keys(self.corpus, match, self.dangling), "anchors")
             return graph.related(self.corpus, relation, anchors)
+        anchors = matching_keys(self.corpus, match, self.dangling)
         counts = graph.related_counts(self.corpus, relation, self.corpus.documents, anchors)
         return counts.where(fields.count_test(F.col("n"), relation.size)).select("key")
 
