@@ -1,12 +1,16 @@
 """Language-model scoring by prediction by partial matching over byte contexts.
 
-The model is a byte-context trie of depth two with counts from all training texts. A byte is coded in
-the longest context that has seen anything; a byte new to that context costs an escape (method C:
-distinct symbols over symbols plus distinct symbols) and is coded in the next shorter context, from
-which the symbols of the longer one are excluded; below the empty context all bytes left are alike.
-Each text ends with an end symbol (byte 0). Since the counts are fixed when scoring starts, the code
-length of every byte in every context is worked out once: a table of at most 65,536 contexts by 256
-bytes (64 MB) that is broadcast, whatever the corpus size.
+The model is a byte-context trie with counts from all training texts. A byte is coded in the longest
+known context that has seen anything; a byte new to that context costs an escape (method C: distinct
+symbols over symbols plus distinct symbols) and is coded in the next shorter context, from which the
+symbols of the longer one are excluded; below the empty context all bytes left are alike. Each text ends
+with an end symbol (byte 0).
+
+All contexts of two bytes are known, and of three to ``DEPTH`` bytes those that precede more than one in
+``CONTEXTS`` of all symbols, so fewer than ``CONTEXTS`` of each length. Since the counts are fixed when
+scoring starts, the code length of every byte in every context is worked out once; these tables are
+broadcast, and their size has that bound (64 MB for pairs, 16 MB twice for each longer length) whatever
+the corpus. Each length takes one pass over the training texts.
 
 Beside it stands a smoothed word model. Its vocabulary grows with the corpus, so only words with more
 than one in ``SPREAD`` of all tokens (fewer than ``SPREAD`` words, each of at most ``WORD_BYTES``
@@ -33,6 +37,9 @@ from ._common import crc_mod, int64, ragged, slices, small_batches, staged, text
 #: Words above one in this many tokens are broadcast.
 SPREAD = 500_000
 WORD_BYTES = 64
+#: The longest contexts, and what share of all symbols a context of over two bytes must precede: one in this many.
+DEPTH = 5
+CONTEXTS = 16_384
 _END = np.uint8(0)
 
 
@@ -45,55 +52,115 @@ def _with_ends(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.insert(raw, offsets[1:], _END), offsets + np.arange(len(offsets))
 
 
-def contexts(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For texts with ends: the two bytes before each byte as a number; zeros before the first."""
-    last = np.zeros(len(raw), np.int32)
-    last[1:] = raw[:-1]
-    last[offsets[:-1]] = 0
-    before = np.zeros(len(raw), np.int32)
-    before[1:] = last[:-1]
-    before[offsets[:-1]] = 0
-    return (before << 8) | last, raw.astype(np.int32)
+def backward(raw: np.ndarray, offsets: np.ndarray, distance: int) -> np.ndarray:
+    """For texts with ends: the byte ``distance`` places before each byte; zero before a text's first."""
+    out = np.zeros(len(raw), np.int32)
+    out[distance:] = raw[: len(raw) - distance] if distance < len(raw) else 0
+    for k in range(distance):
+        at = offsets[:-1] + k
+        out[at[at < offsets[1:]]] = 0
+    return out
+
+
+def pairs(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The two bytes before each byte as one number."""
+    return (backward(raw, offsets, 2) << 8) | backward(raw, offsets, 1)
 
 
 @dataclass
 class Trie:
-    """log10 probabilities: ``rows[context]`` is a row of ``table``; unseen contexts share the row of their last byte."""
-
-    rows: np.ndarray  # 65,536
-    table: np.ndarray  # rows x 256, float32
-
-
-def build(codes: np.ndarray, counts: np.ndarray) -> Trie:
-    """The table from counts of (context << 8 | byte)."""
-    order = np.argsort(codes)
-    codes, counts = codes[order], counts[order].astype(float)
-    n1 = np.zeros((256, 256))
-    np.add.at(n1, ((codes >> 8) & 255, codes & 255), counts)
-    n0 = n1.sum(0)
-    seen = np.unique(codes >> 8)
-    rows = np.arange(65_536, dtype=np.int32) & 255
-    rows[seen] = 256 + np.arange(len(seen), dtype=np.int32)
-    table = np.empty((256 + len(seen), 256), np.float32)
-    for c1 in range(256):
-        table[c1] = np.log10(_mix_down(np.zeros((1, 256)), n1[c1], n0))[0]
-        mine = np.flatnonzero((seen & 255) == c1)
-        if len(mine):
-            n2 = np.zeros((len(mine), 256))
-            place = np.full(65_536, -1)
-            place[seen[mine]] = np.arange(len(mine))
-            at = place[codes >> 8]
-            np.add.at(n2, (at[at >= 0], codes[at >= 0] & 255), counts[at >= 0])
-            table[256 + mine] = np.log10(_mix_down(n2, n1[c1], n0))
-    return Trie(rows, table)
-
-
-def _mix_down(n2: np.ndarray, n1: np.ndarray, n0: np.ndarray) -> np.ndarray:
-    """Probabilities (m x 256) in m contexts, falling from each level to the next with exclusion."""
-    p = np.zeros_like(n2)
-    excluded = np.zeros(n2.shape, bool)
-    carried = np.ones((len(n2), 1))
-    for level in (n2, np.broadcast_to(n1, n2.shape), np.broadcast_to(n0, n2.shape)):
+    """Contexts as nodes by length, and for each what codes every byte.
+
+    ``nodes`` leads from two bytes to their context. ``children[k]`` leads from a context of k + 2 bytes and
+    the byte before it to the context of k + 3 bytes. At each length the number after the last context stands
+    for an unknown one, which leads to unknown ones. ``table`` holds log10 probabilities, with the code lengths
+    of all escapes in them: rows for one byte, then for the contexts of each length from ``bases`` on.
+    """
+
+    nodes: np.ndarray
+    children: list[np.ndarray]
+    bases: list[int]
+    table: np.ndarray
+
+
+def descend(nodes: np.ndarray, children: list[np.ndarray], raw: np.ndarray, offsets: np.ndarray):
+    """For each length from 2: the context of that length before each byte."""
+    node = nodes.take(pairs(raw, offsets))
+    yield node
+    for k, child in enumerate(children):
+        node = child.take((node << 8) | backward(raw, offsets, k + 3))
+        yield node
+
+
+class Growing:
+    """The trie while its levels are counted, one after the other, on the driver.
+
+    All contexts of two bytes are kept. Of longer ones those are kept that precede more than one in
+    ``spread`` of all symbols: fewer than ``spread`` of each length, whatever the corpus.
+    """
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, spread: int):
+        self.spread, self.total = spread, float(counts.sum())
+        seen = np.unique(codes >> 8)
+        self.nodes = np.full(65_536, len(seen), np.int32)
+        self.nodes[seen] = np.arange(len(seen), dtype=np.int32)
+        self.names = [[bytes(divmod(c, 256)) for c in seen.tolist()]]
+        self.suffix = [np.array([c & 255 for c in seen.tolist()], np.int64)]
+        self.counts = [np.zeros((len(seen), 256))]
+        np.add.at(self.counts[0], (self.nodes[codes >> 8], codes & 255), counts)
+        self.one = np.zeros((256, 256))
+        np.add.at(self.one, ((codes >> 8) & 255, codes & 255), counts)
+        self.children: list[np.ndarray] = []
+
+    def extend(self) -> bool:
+        """Finds the contexts of the next length; their counts are still to come."""
+        names, counts = self.names[-1], self.counts[-1]
+        known = {name: i for i, name in enumerate(names)}
+        child = np.full((len(names) + 1, 256), -1, np.int32)
+        found, suffix = [], []
+        for u, byte in zip(*np.nonzero(counts * self.spread > self.total), strict=True):
+            name = names[u] + bytes([byte])
+            v = known.get(name[1:])
+            if byte != _END and v is not None:  # nothing follows an end
+                child[v, name[0]] = len(found)
+                found.append(name)
+                suffix.append(v)
+        if not found:
+            return False
+        self.names.append(found)
+        self.suffix.append(np.array(suffix, np.int64))
+        child[child < 0] = len(found)
+        self.children.append(child.ravel())
+        return True
+
+    def count(self, codes: np.ndarray, counts: np.ndarray) -> None:
+        """The counts of (node << 8 | byte) for the newest contexts."""
+        n = np.zeros((len(self.names[-1]), 256))
+        np.add.at(n, (codes >> 8, codes & 255), counts)
+        self.counts.append(n)
+
+    def finished(self) -> Trie:
+        none = self.one.sum(0)
+        first = np.log10(_mix_down([self.one, np.broadcast_to(none, (256, 256))])).astype(np.float32)
+        rows, bases = [first], []
+        for level in range(len(self.counts)):
+            bases.append(sum(map(len, rows)))
+            for start in range(0, len(self.names[level]), 1024):
+                at = np.arange(start, min(start + 1024, len(self.names[level])))
+                chain = []
+                for below in range(level, -1, -1):
+                    chain.append(self.counts[below][at])
+                    at = self.suffix[below][at]
+                rows.append(np.log10(_mix_down([*chain, self.one[at], np.broadcast_to(none, (len(at), 256))])).astype(np.float32))
+        return Trie(self.nodes, self.children, bases, np.concatenate(rows))
+
+
+def _mix_down(levels: list[np.ndarray]) -> np.ndarray:
+    """Probabilities (m x 256) in m contexts, falling from each level of counts to the next with exclusion."""
+    p = np.zeros(levels[0].shape)
+    excluded = np.zeros(p.shape, bool)
+    carried = np.ones((len(p), 1))
+    for level in levels:
         n = np.where(excluded, 0.0, level)
         total, kinds = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
         here = kinds > 0
@@ -106,12 +173,28 @@ def _mix_down(n2: np.ndarray, n1: np.ndarray, n0: np.ndarray) -> np.ndarray:
     return np.where(excluded, p, carried / np.maximum(left, 1))
 
 
+#: Bytes that are scored at once: what belongs to them stays in the processor's cache.
+_PART = 1 << 18
+
+
 def score_bytes(trie: Trie, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """log10 probability of each whole text, its end included."""
-    raw, offsets = _with_ends(raw, offsets)
-    context, byte = contexts(raw, offsets)
-    each = trie.table.ravel()[(trie.rows[context].astype(np.int64) << 8) | byte]
-    return np.add.reduceat(each.astype(float), offsets[:-1]) if len(offsets) > 1 else np.zeros(0)
+    out, start = [np.zeros(0)], 0
+    while start < len(offsets) - 1:
+        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + _PART, side="right")) - 1)
+        out.append(_score_part(trie, *_with_ends(raw[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start])))
+        start = end
+    return np.concatenate(out)
+
+
+def _score_part(trie: Trie, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    row = None
+    sizes = [*(b - a for a, b in zip(trie.bases, trie.bases[1:], strict=False)), len(trie.table) - trie.bases[-1]]
+    for base, size, node in zip(trie.bases, sizes, descend(trie.nodes, trie.children, raw, offsets), strict=True):
+        shorter = backward(raw, offsets, 1) if row is None else row
+        row = np.where(node < size, node + np.int32(base), shorter)
+    each = trie.table.ravel().take((row << 8) | raw)
+    return np.add.reduceat(each.astype(float), offsets[:-1])
 
 
 def _words(text: pa.Array):
@@ -142,8 +225,7 @@ def gather(texts: DataFrame) -> DataFrame:
         for part in slices(batches):
             raw, offsets = text_bytes(part.column("text"))
             raw, offsets = _with_ends(raw, offsets)
-            context, byte = contexts(raw, offsets)
-            found, n = np.unique((context << 8) | byte, return_counts=True)
+            found, n = np.unique((pairs(raw, offsets) << 8) | raw, return_counts=True)
             grams[found] += n.astype(np.uint32)
             coded, _ = _words(part.column("text"))
             for word, k in zip(coded.dictionary.to_pylist(), np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary)).tolist(), strict=True):
@@ -158,7 +240,42 @@ def gather(texts: DataFrame) -> DataFrame:
     return counted.groupBy("kind", "word", "code").agg(F.sum("n").alias("n"))
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spread: int = SPREAD) -> DataFrame:
+def gather_level(texts: DataFrame, shared, size: int) -> DataFrame:
+    """(code, n): counts of (node << 8 | byte) over all texts for the deepest contexts of a trie.
+
+    ``shared`` broadcasts its nodes and children, ``size`` is the number of the deepest contexts.
+    """
+
+    def run(batches):
+        nodes, children = shared.value
+        total = np.zeros((size + 1) << 8, np.int64)
+        for part in slices(batches, _PART):
+            raw, offsets = _with_ends(*text_bytes(part.column("text")))
+            *_, node = descend(nodes, children, raw, offsets)
+            found, n = np.unique((node << 8) | raw, return_counts=True)
+            total[found] += n
+        total = total[: size << 8]
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], ["code", "n"])
+
+    return texts.mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def train(texts: DataFrame, grams, depth: int = DEPTH, spread: int = CONTEXTS) -> Trie:
+    """The trie of all texts, given their counts of (pair of bytes, byte); one pass for each further length."""
+    context = texts.sparkSession.sparkContext
+    growing = Growing(grams["code"].to_numpy(np.int64), grams["n"].to_numpy(np.int64), spread)
+    for _ in range(depth - 2):
+        if not growing.extend():
+            break
+        shared = context.broadcast((growing.nodes, growing.children))
+        level = gather_level(texts, shared, len(growing.names[-1])).toPandas()
+        shared.unpersist()
+        growing.count(level["code"].to_numpy(np.int64), level["n"].to_numpy(np.int64))
+    return growing.finished()
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spread: int = SPREAD, depth: int = DEPTH, contexts: int = CONTEXTS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -172,7 +289,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sprea
     # fewer than ``spread`` words pass, since their counts add up to no more than the total
     often = words.where((F.col("c") * spread > total) & (F.octet_length("word") <= WORD_BYTES)).toPandas()
     grams = counted.where("kind = 1").select("code", "n").toPandas()
-    model = spark.sparkContext.broadcast((build(grams["code"].to_numpy(np.int64), grams["n"].to_numpy(np.int64)), dict(zip(often["word"], often["c"], strict=True))))
+    model = spark.sparkContext.broadcast((train(learn.select("text"), grams, depth, contexts), dict(zip(often["word"], often["c"], strict=True))))
     del grams
     floor = float(total + 0.5 * (kinds + 1))
     end_score = float(np.log10((ends + 0.5) / floor))

@@ -179,30 +179,40 @@ def test_held_out_accuracy_and_odd_rows(spark):
 # PPM
 
 
-def plain_ppm(train, text):
+def plain_ppm(train, text, depth, spread):
     """Straight from the definition, byte by byte."""
-    counts = [Counter(), Counter(), Counter()]
+    counts = [Counter() for _ in range(depth + 1)]
+    pad = b"\0" * depth
     for t in train:
-        b = b"\0\0" + t.encode() + b"\0"
-        for i in range(2, len(b)):
-            for k in range(3):
+        b = pad + t.encode() + b"\0"
+        for i in range(depth, len(b)):
+            for k in range(depth + 1):
                 counts[k][(b[i - k : i], b[i])] += 1
-    total, b = 0.0, b"\0\0" + text.encode() + b"\0"
-    for i in range(2, len(b)):
-        p, out = 1.0, set()
-        for k in (2, 1, 0):
-            n = {s: c for (ctx, s), c in counts[k].items() if ctx == b[i - k : i] and s not in out}
+    total = sum(counts[0].values())
+
+    def known(context):
+        k = len(context)
+        return k < 3 or context[-1] != 0 and counts[k - 1][(context[:-1], context[-1])] * spread > total and known(context[:-1]) and known(context[1:])
+
+    out, b = 0.0, pad + text.encode() + b"\0"
+    for i in range(depth, len(b)):
+        p, gone = 1.0, set()
+        for k in range(depth, -1, -1):
+            context = b[i - k : i]
+            if not known(context):
+                continue
+            n = {s: c for (x, s), c in counts[k].items() if x == context and s not in gone}
             if not n:
                 continue
-            size = sum(n.values()) + (len(n) if len(out) + len(n) < 256 else 0)
+            size = sum(n.values()) + (len(n) if len(gone) + len(n) < 256 else 0)
             if b[i] in n:
-                total += math.log10(p * n[b[i]] / size)
+                out += math.log10(p * n[b[i]] / size)
                 break
             p *= len(n) / size
-            out |= set(n)
+            gone |= set(n)
         else:
-            total += math.log10(p / (256 - len(out)))
-    return total
+            out += math.log10(p / (256 - len(gone)))
+    return out
 
 
 def test_ppm_and_word_scores(spark, monkeypatch):
@@ -215,8 +225,8 @@ def test_ppm_and_word_scores(spark, monkeypatch):
     n = Counter(w for t in train for w in words(t))
     n["<end>"] = len(train)
     total, kinds = sum(n.values()), len(n)
-    for spread in (3, 500_000):
-        got = {r["doc_id"]: r for r in ppm.score(docs, spread=spread).collect()}
+    for spread, depth, contexts in ((3, 2, 16_384), (500_000, 5, 60), (500_000, 4, 16_384)):
+        got = {r["doc_id"]: r for r in ppm.score(docs, spread=spread, depth=depth, contexts=contexts).collect()}
         assert len(got) == len(texts)
         for i, t in enumerate(texts):
             tokens = [*words(t), "<end>"]
@@ -224,17 +234,20 @@ def test_ppm_and_word_scores(spark, monkeypatch):
             assert r["held_out"] == (fold[i] == 1) and r["n_tokens"] == len(tokens) and r["train_tokens"] == total
             assert r["n_known"] == sum(n[w] > 0 for w in tokens)
             assert r["base_score"] == pytest.approx(sum(math.log10((n[w] + 0.5) / (total + 0.5 * (kinds + 1))) for w in tokens))
-            assert r["score"] == pytest.approx(plain_ppm(train, t or ""), rel=1e-5)
+            assert r["score"] == pytest.approx(plain_ppm(train, t or "", depth, contexts), rel=1e-5)
     assert ppm.score(docs.where("false")).count() == 0
 
 
 def test_ppm_distributions_sum_to_one():
     raw, offsets = text_bytes(pa.array(["abcabd", "xyz" * 5, bytes(range(1, 128)).decode()]))
     raw, offsets = ppm._with_ends(raw, offsets)
-    context, byte = ppm.contexts(raw, offsets)
-    codes, n = np.unique((context << 8) | byte, return_counts=True)
-    trie = ppm.build(codes.astype(np.int64), n)
-    assert np.allclose((10.0**trie.table).sum(1), 1, atol=1e-5)
+    codes, n = np.unique((ppm.pairs(raw, offsets).astype(np.int64) << 8) | raw, return_counts=True)
+    growing = ppm.Growing(codes, n, 1000)
+    assert growing.extend()
+    _, node = ppm.descend(growing.nodes, growing.children, raw, offsets)
+    here = node < len(growing.names[-1])
+    growing.count(*np.unique((node[here].astype(np.int64) << 8) | raw[here], return_counts=True))
+    assert np.allclose((10.0 ** growing.finished().table).sum(1), 1, atol=1e-5)
 
 
 # permutation index
