@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from functools import lru_cache
 
@@ -265,11 +266,12 @@ def warnings(spec: ir.Search, analyzer: str = "english") -> list[str]:
     return ["the lexical query has no searchable terms"] if spec.lexical is not None and not query_tokens(spec.lexical, analyzer) else []
 
 
-def _classes(corpus, least_tokens: int, analyzer: str) -> tuple[DataFrame, DataFrame]:
+def _classes(corpus, least_tokens: int, analyzer: str, reach: int) -> tuple[DataFrame, DataFrame]:
     """Documents with equal bags of terms are one class, named by its smallest key.
 
-    Gives (key, class) and, by class, (class, dl, term, q, w, df, before, q_all, whole): a term's weight
-    when asked for and when found, and what the rarer terms before it ask for.
+    Gives (key, class) and, by class, (class, dl, term, q, w, df, rest, whole): a term's weight when asked
+    for and when found, what the document scores against itself, and the most that this term and all less
+    rare ones can score against a document at most ``reach`` octaves of length away.
     """
     index = staged(terms(corpus, analyzer), "terms")
     size = corpus_size(corpus, index)
@@ -280,11 +282,16 @@ def _classes(corpus, least_tokens: int, analyzer: str) -> tuple[DataFrame, DataF
     names = bags.groupBy("h1", "h2").agg(F.min("key").alias("class"))
     members = staged(bags.join(names, ["h1", "h2"]).select("key", "class"), "classes")
     rows = index.join(members.where("key = class").select("key"), "key", "left_semi").join(df, "term").crossJoin(F.broadcast(size))
-    rows = rows.select(F.col("key").alias("class"), "dl", "term", "df", (F.col("tf") * idf(F.col("n"), F.col("df"))).alias("q"), weight(F.col("tf"), F.col("dl"), F.col("avgdl")).alias("w"))
+    rows = rows.select(F.col("key").alias("class"), "dl", "term", "df", (F.col("tf") * idf(F.col("n"), F.col("df"))).alias("q"), weight(F.col("tf"), F.col("dl"), F.col("avgdl")).alias("w"), F.floor(F.log2("dl")).alias("octave"))
+    rows = staged(rows, "weights")
+    # a term's highest weight among documents of comparable length, which are an octave off at most
+    best = rows.groupBy("term", "octave").agg(F.max("w").alias("w"))
+    near = best.select("term", F.explode(F.array(*[F.col("octave") + d for d in range(-reach, reach + 1)])).alias("octave"), "w")
+    rows = rows.join(near.groupBy("term", "octave").agg(F.max("w").alias("top")), ["term", "octave"])
     one = Window.partitionBy("class")
-    rarer = one.orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("before", F.coalesce(F.sum("q").over(rarer), F.lit(0.0))).withColumn("q_all", F.sum("q").over(one)).withColumn("whole", F.sum(F.col("q") * F.col("w")).over(one))
-    return members, staged(rows, "weights")
+    onwards = one.orderBy("df", "term").rowsBetween(0, Window.unboundedFollowing)
+    rows = rows.withColumn("rest", F.sum(F.col("q") * F.col("top")).over(onwards)).withColumn("whole", F.sum(F.col("q") * F.col("w")).over(one))
+    return members, staged(rows.drop("octave", "top"), "weights")
 
 
 def similar_classes(corpus, threshold: float = 0.85, least_tokens: int = 50, length_ratio: float = 2.0, analyzer: str = "simple") -> tuple[DataFrame, DataFrame]:
@@ -295,8 +302,8 @@ def similar_classes(corpus, threshold: float = 0.85, least_tokens: int = 50, len
     no class, and lengths further apart than ``length_ratio`` don't pair. Classes meet only through the rarest
     terms of both: without any of those, even the highest weights of all other terms stay under the threshold.
     """
-    members, rows = _classes(corpus, least_tokens, analyzer)
-    rare = rows.where((F.col("q_all") - F.col("before")) * (K1 + 1) >= threshold * F.col("whole") - 1e-9).select("class", "dl", "term")
+    members, rows = _classes(corpus, least_tokens, analyzer, math.ceil(math.log2(length_ratio)))
+    rare = rows.where(F.col("rest") >= threshold * F.col("whole") - 1e-9).select("class", "dl", "term")
     left, right = rare.select(F.col("class").alias("a"), F.col("dl").alias("da"), "term"), rare.select(F.col("class").alias("b"), F.col("dl").alias("db"), "term")
     near = (F.greatest("da", "db") <= F.least("da", "db") * length_ratio) & (F.col("a") < F.col("b"))
     candidates = left.join(right, "term").where(near).select("a", "b").distinct()
