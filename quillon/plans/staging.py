@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +15,24 @@ def root(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/quillon-graph-{spark.sparkContext.applicationId}"
 
 
+_swept: set[str] = set()
+
+
+def sweep_at_exit(spark: SparkSession, clear_all) -> None:
+    """Has the application's tables deleted when its driver ends."""
+    key = f"{spark.sparkContext.applicationId} {clear_all.__module__}"
+
+    def sweep() -> None:
+        with contextlib.suppress(Exception):  # the session may be gone by then
+            clear_all(spark)
+
+    if key not in _swept:
+        _swept.add(key)
+        atexit.register(sweep)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
+    sweep_at_exit(df.sparkSession, clear)
     path = f"{root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
