@@ -7,13 +7,15 @@ cases in its operator.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import exact_dedup, langid, minhash, packing, secrets
-from quillon.llm._common import clear_staging, shared_dir
+from quillon.llm._common import clear_staging, delete_path, shared_dir
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,9 +61,18 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written as Parquet and reread by the next stage."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     root = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid4().hex}"
+    atexit.register(_forget, spark, root)
     for i, (_, stage) in enumerate(STAGES):
         path = f"{root}/{i}"
         stage(spark, docs, sf_dir).write.parquet(path)
         clear_staging(spark)
+        if i:
+            delete_path(spark, f"{root}/{i - 1}")
         docs = spark.read.parquet(path)
     return docs
+
+
+def _forget(spark: SparkSession, root: str) -> None:
+    """Deletes the last result when the driver ends."""
+    with contextlib.suppress(Exception):  # the session may be gone by then
+        delete_path(spark, root)

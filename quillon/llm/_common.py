@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.staging import sweep_at_exit
+
 TOKENIZER_DIR_FILES = {
     "byte": "byte_bpe_multi_50k.tiktoken",
     "word": "word_bpe_49k.json",
@@ -43,16 +45,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     following joins real file sizes to plan with.
     """
     spark = df.sparkSession
+    sweep_at_exit(spark, clear_staging)
     path = f"{_staging_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in any store that Spark reaches; nothing happens where there is none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def clear_staging(spark: SparkSession) -> None:
     """Deletes what ``staged`` has written for this application."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_staging_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete_path(spark, _staging_root(spark))
 
 
 def small_batches(spark: SparkSession) -> None:
