@@ -376,9 +376,10 @@ _TERMS = """tok AS (SELECT key, unnest(regexp_extract_all(lower(text), '[\\p{L}\
 _BM25 = "bm AS (SELECT key, sum(idf * w * CASE term WHEN 'the' THEN 2 ELSE 1 END) AS score FROM wt WHERE term IN ('the', 'tion', 'erre') GROUP BY key)"
 
 
-@register(f"{TEXTS}, {_TERMS}, {_BM25} SELECT key, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, key) AS place FROM bm ORDER BY place LIMIT 100")
+@register(f"{TEXTS}, {_TERMS}, {_BM25} SELECT key, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, key) AS place FROM bm ORDER BY place LIMIT 100")
 def bm25_topk(spark, sf_dir):
-    found = search.bm25(texts(spark, sf_dir), "the tion erre the", "simple")
+    # equal scores may differ in their last bits by the order of the sum
+    found = search.bm25(texts(spark, sf_dir), "the tion erre the", "simple").withColumn("score", F.round("score", 9))
     top = found.orderBy(F.desc("score"), "key").limit(100)
     return top.select("key", F.round("score", 6).alias("score"), F.row_number().over(Window.orderBy(F.desc("score"), "key")).cast("long").alias("place"))
 
