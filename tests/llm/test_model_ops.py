@@ -238,6 +238,25 @@ def test_ppm_and_word_scores(spark, monkeypatch):
     assert ppm.score(docs.where("false")).count() == 0
 
 
+def test_ppm_knows_rare_contexts(spark):
+    """Words of three and four bytes a letter, each in two of very many texts, are predicted from all five bytes."""
+    rng = random.Random(9)
+    common = [" ".join(rng.choice(["the", "of", "and", "to"]) for _ in range(400)) for _ in range(30)]
+    rare = ["日本語の文", "ᏣᎳᎩ ᎦᏬᏂᎯᏍᏗ", "zyxwv qqjkk", "𐌰𐌱𐌲"]
+    texts = common + rare * 3 + ["", None, "日本", "nothing alike: ΩΨ", "a\0b\0c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    train = [t or "" for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
+    assert len({t for t in train if t in rare}) >= 3
+    for depth, options in ((5, {}), (5, {"common": 1}), (5, {"common": 300}), (4, {}), (2, {"common": 40})):
+        got = {r["doc_id"]: r["score"] for r in ppm.score(docs, depth=depth, **options).collect()}
+        for i, t in enumerate(texts):
+            if "\0" not in (t or "") and i >= 25:
+                assert got[i] == pytest.approx(plain_ppm(train, t or "", depth, 10**12), rel=1e-9), (depth, options, t)
+    cut = {r["doc_id"]: r["score"] for r in ppm.score(docs, contexts=1000).collect()}
+    whole = {r["doc_id"]: r["score"] for r in ppm.score(docs).collect()}
+    assert sum(whole[i] for i in range(30, 42)) > sum(cut[i] for i in range(30, 42))
+
+
 def test_ppm_distributions_sum_to_one():
     raw, offsets = text_bytes(pa.array(["abcabd", "xyz" * 5, bytes(range(1, 128)).decode()]))
     raw, offsets = ppm._with_ends(raw, offsets)
