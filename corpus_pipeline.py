@@ -19,7 +19,10 @@ from quillon.llm._common import clear_staging, delete_path, shared_dir
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text, or no letter in it) go; all others stay."""
+    """Documents without a language go: no text, no letter in it, or none of the languages that the labels teach.
+
+    Texts in several of those languages stay, and so do texts too short to tell.
+    """
     return langid.keep_known(docs)
 
 

@@ -8,14 +8,21 @@ Training is backpropagation through time in numpy on the driver, over windows fr
 of labelled rows (``SAMPLE`` rows of each language, the ones with the smallest hash of id and text).
 Inference is numpy over thousands of windows at a time.
 
+For ``keep_known`` the network has one more class, no language: it also learns windows of random letters of
+many scripts, of encodings, and of sampled texts with their letters in random order. A text goes where its
+positions in the languages, all of them together, have a mean probability under ``LEAST``, or under what nearly
+all sampled rows reach if that is less. So a text in two languages stays. Where a text falls short, its words
+without digits and addresses are judged once more by themselves.
+
 Defined cases: null text, and text without a letter, is ``und`` with score 0; with no labelled row
-everything is ``und``; a null lang is not learned from; a null id counts as the empty text when rows
+everything is ``und``, but ``keep_known`` then keeps every text that has a letter; a null lang is not learned from; a null id counts as the empty text when rows
 are split into folds; repeated rows are labelled each; an empty table gives an empty table; other
 columns are ignored by ``predict`` and pass through ``keep_known`` untouched.
 """
 
 from __future__ import annotations
 
+import string
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +43,11 @@ UNITS = 8
 EMBEDDING = 8
 #: Windows that run side by side.
 _BATCH = 4096
+#: The least share of a text in the learned languages, and the share of sampled rows that may fall short of it.
+LEAST = 0.5
+STRAY = 0.001
+#: What says nothing about a language, though it has letters.
+_CODES = r"\S*[0-9@]\S*"
 
 
 @dataclass
@@ -49,6 +61,7 @@ class Network:
     recurrent: list[np.ndarray]  # by direction: H x 3H
     out: np.ndarray  # 2H x K
     out_bias: np.ndarray  # K
+    least: float | None = None  # with one: the last label is no language, and a text's share in the others is this or more
 
     def tables(self) -> list[np.ndarray]:
         """By direction: what each byte adds to the gates."""
@@ -188,8 +201,8 @@ def sample_rows(docs: DataFrame, rows: int = SAMPLE, id_col: str = "doc_id", tex
     return learn.select("lang", "doc_id", F.substring("text", at, F.lit(span)).alias("text")).withColumn("place", place).where(F.col("place") <= rows).select("lang", "text")
 
 
-def train(docs: DataFrame, rows: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> Network | None:
-    """The network fitted on a bounded sample of ``docs``; None where nothing is labelled."""
+def train(docs: DataFrame, rows: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", none: bool = False, **options) -> Network | None:
+    """The network fitted on a bounded sample of ``docs``; None where nothing is labelled. With ``none`` the last class is no language."""
     found = sample_rows(docs, rows, id_col, text_col, lang_col).toPandas().sort_values(["lang", "text"], kind="stable")
     if found.empty:
         return None
@@ -202,7 +215,48 @@ def train(docs: DataFrame, rows: int = SAMPLE, id_col: str = "doc_id", text_col:
     rng = np.random.default_rng(3)
     most = min(np.bincount(which).max(), rows * WINDOWS // 2)
     picked = np.concatenate([rng.permutation(np.resize(rng.permutation(np.flatnonzero(which == k)), most)) for k in range(len(labels))])
-    return fit(new_network(labels), windows[picked], sizes[picked], which[picked], **options)
+    if not none:
+        return fit(new_network(labels), windows[picked], sizes[picked], which[picked], **options)
+    odd, odd_sizes, _ = cut_windows(*text_bytes(pa.array(noise(found["text"].tolist(), rows), pa.string())))
+    some = rng.permutation(np.resize(rng.permutation(len(odd)), most))
+    every = [np.concatenate(x) for x in ((windows[picked], odd[some]), (sizes[picked], odd_sizes[some]), (which[picked], np.full(most, len(labels))))]
+    net = fit(new_network([*labels, "und"]), *every, **options)
+    share = document_probabilities(net, raw, offsets)[:, :-1].sum(1)
+    net.least = min(LEAST, float(np.quantile(share, STRAY)))
+    return net
+
+
+def noise(texts: list[str], count: int, seed: int = 11) -> list[str]:
+    """Texts in no language: random letters of a script, random letters of an encoding, letters of a text in random order."""
+    rng = np.random.default_rng(seed)
+    span, low = WINDOWS * WINDOW, string.ascii_lowercase
+    encodings = ["0123456789abcdef", low.upper() + low + string.digits + "+/", low, low.upper()]
+    out = []
+    for i in range(count):
+        if i % 3 == 0:
+            start = rng.integers(0x370, 0xD700 if rng.random() < 0.5 else 0x1200)
+            code = start + rng.integers(0, rng.choice([48, 96, 512]), span)
+            t = [chr(c) for c in code[code < 0xD800]]
+        elif i % 3 == 1:
+            t = list(rng.choice(list(encodings[rng.integers(len(encodings))]), span))
+        else:
+            t = list(rng.permutation(list(texts[rng.integers(len(texts))])))
+        if i % 3 < 2 and rng.random() < 0.5:
+            gaps = rng.integers(rng.integers(3, 9), size=len(t))
+            t = [c if g else " " for c, g in zip(t, gaps, strict=True)]
+        out.append("".join(t))
+    return out
+
+
+def foreign(net: Network, texts: pa.Array, p: np.ndarray) -> np.ndarray:
+    """Whether texts with these probabilities are in none of the network's languages."""
+    out = p[:, :-1].sum(1) < net.least
+    if out.any():
+        words = pc.replace_substring_regex(texts.filter(pa.array(out)), _CODES, " ")
+        again = document_probabilities(net, *text_bytes(words))[:, :-1].sum(1) < net.least
+        has = pc.match_substring_regex(words, r"\p{L}").to_numpy(zero_copy_only=False)
+        out[out] = again | ~has
+    return out
 
 
 def document_probabilities(net: Network, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -245,15 +299,18 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.0, rows: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` that have a language, with a score of ``least`` or more."""
+    """The rows of ``docs`` in one or more of the learned languages, with a score of ``least`` or more.
+
+    Where nothing is learned, the rows whose text has a letter.
+    """
     small_batches(docs.sparkSession)
-    net = train(docs, rows, id_col, text_col, lang_col)
+    net = train(docs, rows, id_col, text_col, lang_col, none=True)
     keep = language_of(net)(docs[text_col])
     return docs.where((keep["lang_pred"] != "und") & (keep["score"] >= least))
 
 
 def language_of(net: Network | None):
-    """A column function: text -> struct<lang_pred, score>."""
+    """A column function: text -> struct<lang_pred, score>; ``und`` for what is foreign to the network."""
 
     @F.pandas_udf("lang_pred string, score double")
     def label(texts):
@@ -266,7 +323,11 @@ def language_of(net: Network | None):
             known = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False) & (net is not None)
             n, s = np.full(part.num_rows, "und", object), np.zeros(part.num_rows)
             if known.any():
-                p = document_probabilities(net, *text_bytes(text.filter(pa.array(known))))
+                some = text.filter(pa.array(known))
+                p = document_probabilities(net, *text_bytes(some))
+                if net.least is not None:
+                    known[known] = stay = ~foreign(net, some, p)
+                    p = p[stay, :-1]
                 n[known], s[known] = np.array(net.labels, object)[p.argmax(1)], np.minimum(p.max(1), 1.0)
             names += n.tolist()
             scores += s.tolist()

@@ -1,5 +1,7 @@
 """The pipeline: what each stage keeps, on planted rows and on the driver's small table."""
 
+import base64
+
 import numpy as np
 import pytest
 
@@ -57,6 +59,26 @@ def test_empty_and_whole(spark, rows):
     assert not any(secrets.find_text(secrets.blank(full[i])) for i in sums)
 
 
+def test_language_stage_rejects_by_the_network(spark):
+    """Foreign and noise texts go; labelled texts, and texts in two languages, stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    clean = {r["lang"]: r["text"] for r in docs.where("length(text) > 1500 AND NOT text LIKE '%@%'").orderBy("doc_id").collect()}
+    two = clean["en"][:600] + " " + clean["de"][:600]
+    rng = np.random.default_rng(5)
+    gone = {
+        -1: "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему. " * 5,
+        -2: "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。" * 10,
+        -3: rng.bytes(2000).hex(),
+        -4: base64.b64encode(rng.bytes(2000)).decode(),
+    }
+    stay = {-10: two, -11: "A.", **{-20 - i: t for i, t in enumerate(clean.values())}}
+    planted = spark.createDataFrame([(i, t, None) for i, t in (gone | stay).items()], "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in corpus_pipeline.known_language(spark, docs.unionByName(planted), "").select("doc_id").collect()}
+    assert not kept & set(gone) and kept >= set(stay)
+    labelled = docs.where("text rlike '\\\\p{L}'").count()
+    assert len(kept & {r["doc_id"] for r in docs.collect()}) >= 0.998 * labelled
+
+
 def test_bit_filter(spark):
     keys = spark.range(0, 3000, 3).toDF("k")
     rows = spark.range(3000).toDF("k").unionByName(spark.createDataFrame([(None,)], "k long"))
