@@ -305,6 +305,8 @@ def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     small_batches(docs.sparkSession)
     net = train(docs, rows, id_col, text_col, lang_col, none=True)
+    if net is None:
+        return docs.where(docs[text_col].rlike(r"\p{L}"))
     keep = language_of(net)(docs[text_col])
     return docs.where((keep["lang_pred"] != "und") & (keep["score"] >= least))
 

@@ -4,6 +4,7 @@ import base64
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillon.llm import minhash, packing, secrets
@@ -79,6 +80,13 @@ def test_language_stage_rejects_by_the_network(spark):
     assert len(kept & {r["doc_id"] for r in docs.collect()}) >= 0.998 * labelled
 
 
+def test_language_stage_without_labels(spark, rows):
+    """Nothing is learned, so every text with a letter stays."""
+    bare = rows.withColumn("lang", F.lit(None).cast("string"))
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.known_language(spark, bare, "").collect())
+    assert kept == [1, 2, 3, 6, 6, 7, *range(100, 130)]
+
+
 def test_bit_filter(spark):
     keys = spark.range(0, 3000, 3).toDF("k")
     rows = spark.range(3000).toDF("k").unionByName(spark.createDataFrame([(None,)], "k long"))
