@@ -263,7 +263,20 @@ def _by_prefix(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component, the one with the smallest id."""
+    """The rows of ``docs`` that stay: of each component, the one with the smallest id.
+
+    Rows are linked, not ids: where ids repeat, every row is numbered in the order of ids, and of each component
+    the row with the smallest number stays. Rows with a null id all stay.
+    """
+    odd = docs.select(F.col(id_col).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("id IS NOT NULL AND c > 1")
+    if odd.isEmpty():
+        return _without_near(docs, id_col, text_col, percent)
+    rows = docs.orderBy(id_col).withColumn("_quillon_row", F.when(F.col(id_col).isNotNull(), F.monotonically_increasing_id()))
+    return _without_near(staged(rows, "minhash-rows"), "_quillon_row", text_col, percent).select(*docs.columns)
+
+
+def _without_near(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """``docs`` by ids that don't repeat."""
     found = near_duplicates(docs, id_col, text_col, percent)
     gone = staged(found.where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct(), "minhash-gone")
     maybe, stay = split_by_filter(docs, id_col, bit_filter(gone, id_col))

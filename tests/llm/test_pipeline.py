@@ -87,6 +87,17 @@ def test_language_stage_without_labels(spark, rows):
     assert kept == [1, 2, 3, 6, 6, 7, *range(100, 130)]
 
 
+def test_near_stage_links_rows(spark):
+    """Of repeated ids, only the near copies go, and not all texts of the id."""
+    text = lambda name, n=0: " ".join(f"{name}{i}" for i in range(60)) + f" end{n}"
+    data = [(1, text("a")), (2, text("a", 1)), (2, text("b")), (3, text("c")), (3, text("c", 1)), (None, text("d")), (4, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in data], "doc_id long, text string, place string")
+    kept = corpus_pipeline.near(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = sorted((r["doc_id"] or 0, (r["text"] or "")[:1]) for r in kept.collect())
+    assert got == [(0, "d"), (1, "a"), (2, "b"), (3, "c"), (4, ""), (4, "")]
+
+
 def test_bit_filter(spark):
     keys = spark.range(0, 3000, 3).toDF("k")
     rows = spark.range(3000).toDF("k").unionByName(spark.createDataFrame([(None,)], "k long"))
