@@ -7,6 +7,7 @@ again. Events that change nothing are dropped.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -34,10 +35,11 @@ def changes(documents: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def file_events(spark: SparkSession, path: str, extension: str = "md") -> DataFrame:
-    """A stream of upserts: new and rewritten files of a folder. Files that vanish raise no event of their own."""
+    """A stream of upserts: new and rewritten files of a folder, keyed by their paths in it. Files that vanish raise no event of their own."""
     files = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{extension}").schema("value string").load(path)
-    name = F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+)\.{extension}$", 1)
-    return files.select(name.alias("key"), F.col("value").alias("content"), F.lit(False).alias("removed"), F.col("_metadata.file_modification_time").alias("at"))
+    root = re.sub(r"^file:/*", "/", path).rstrip("/")
+    rel = F.regexp_replace(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), "\\+", "%2B")), f"^(?:file:/*)?{re.escape(root)}/", "")
+    return files.select(F.regexp_replace(rel, rf"\.{extension}$", "").alias("key"), F.col("value").alias("content"), F.lit(False).alias("removed"), F.col("_metadata.file_modification_time").alias("at"))
 
 
 class DocumentTable:

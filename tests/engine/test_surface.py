@@ -97,3 +97,15 @@ def test_reshape():
     assert reshape.toggle_item("k", "- [ ] a\n", 1) == "- [x] a\n"
     assert reshape.unlink("k", text, 6).endswith("p x\n")
     assert reshape.link("k", "# D\n\nsome text\n", 1, "t") == "# D\n\n[some text](t)\n"
+
+
+def test_file_events_keep_equal_names_apart(spark, tmp_path):
+    from quillon.streaming import changes
+
+    for name in ("a/x.md", "b/x.md", "top y.md"):
+        at = tmp_path / "notes" / name
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text(name)
+    table = changes.DocumentTable(spark, str(tmp_path / "table"))
+    changes.maintain(changes.file_events(spark, str(tmp_path / "notes")), table, str(tmp_path / "checkpoint")).awaitTermination(60)
+    assert {r["key"]: r["content"] for r in table.read().collect()} == {"a/x": "a/x.md", "b/x": "b/x.md", "top y": "top y.md"}
