@@ -384,3 +384,15 @@ def test_stream(spark, tmp_path):
     assert seen == [[("create", "a"), ("create", "b")], [("create", "c"), ("remove", "b")]]
     stream.apply_batch(table, spark.createDataFrame([("z", "z", False, None)], stream.EVENTS), 0)
     assert keys(table.read()) == ["a", "c"]
+
+
+def test_paths_have_no_longest(spark):
+    from types import SimpleNamespace
+
+    size = 103
+    edges = spark.createDataFrame([(f"k{i}", f"k{i + 1}") for i in range(size - 1)], "src string, dst string").coalesce(1)
+    chain = SimpleNamespace(inclusion_edges=edges)
+    first = spark.createDataFrame([("k0",)], "key string")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(graph, "roots", lambda corpus: first)
+        assert max(len(r["keys"]) for r in graph.paths(chain).collect()) == size
