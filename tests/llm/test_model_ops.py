@@ -316,3 +316,35 @@ def test_odd_vectors(spark, monkeypatch):
     few = table.where("vec_id in (1, 2, 20)")
     assert sorted((r["vec_id"], r["rank"]) for r in ann.nearest(few, F.col("vec_id") == 20).collect()) == [(1, 1), (2, 2)]
     assert ann.nearest(table.where("false"), F.col("vec_id") == 1).count() == 0
+
+
+def test_lengths_apart_and_repeated_ids(spark):
+    """Vectors meet only their own length; an id asks once, and never meets its other rows."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=4 if i % 2 else 6).tolist()) for i in range(40)] + [(0, [1e9] * 6), (1, None), (3, [0.5] * 4)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
+    got = {}
+    for r in ann.nearest(table, F.col("vec_id") < 4, k=50).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    for q in range(4):
+        mine = min(v for i, v in rows if i == q and v)
+        want = sorted((math.dist(v, mine), i) for i, v in rows if v and len(v) == len(mine) and i != q)
+        assert [i for i, _ in got[q]] == [i for _, i in want]
+        assert [s for _, s in got[q]] == pytest.approx([s for s, _ in want], rel=1e-12)
+
+
+def test_a_query_reads_part_of_the_index(spark):
+    table = spark.read.parquet(f"{DATA}/sf0.1/embeddings.parquet")
+    n = table.count()
+    read = [r[0] for r in ann.nearest(table, F.col("vec_id") % 100 == 0).where("rank = 1").select("n_read").collect()]
+    assert np.mean(read) < 0.5 * n
+
+
+def test_footrule_equals_its_definition():
+    rng = np.random.default_rng(1)
+    orders = np.array([rng.permutation(20)[:7] for _ in range(30)], np.uint16)
+    for mine in orders:
+        places = np.full(20, 7, np.int16)
+        places[mine] = np.arange(7)
+        at = lambda o, p: list(o).index(p) if p in o else 7
+        assert ann.footrule(orders, places).tolist() == [sum(abs(at(o, p) - at(mine, p)) for p in range(20)) for o in orders]
