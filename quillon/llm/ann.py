@@ -43,7 +43,7 @@ KEEP = 0.4
 LEAST = 128
 #: Postings and queries in a block.
 BLOCK = 4096
-QUERY_BLOCK = 512
+QUERY_BLOCK = 2048
 
 
 def usable(vector: Column) -> Column:
