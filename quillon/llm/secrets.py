@@ -10,7 +10,8 @@ Kinds, in the order that breaks ties between equal starts:
 * github, npm: prefix, 30 characters and a 6-digit base-62 CRC-32 of them, which must agree;
 * slack, pem, jwt, google, stripe: by form (a jwt's header must decode to JSON with ``alg``).
 
-Defined cases: null text has no spans; an empty table gives an empty table; rows are independent, so
+Defined cases: null text has no spans; very long texts are scanned whole, in time in proportion to their
+length; a header of a jwt that nests too deeply to be read is none; of spans with equal starts the kinds above decide the order; an empty table gives an empty table; rows are independent, so
 repeated rows repeat; other columns are ignored by ``scan`` and pass through ``redact`` untouched.
 """
 
@@ -52,7 +53,7 @@ def _jwt(m: re.Match) -> bool:
     head = m[1]
     try:
         found = json.loads(base64.urlsafe_b64decode(head + b"=" * (-len(head) % 4)))
-    except ValueError:
+    except (ValueError, RecursionError):  # deeply nested headers are none
         return False
     return isinstance(found, dict) and "alg" in found
 
@@ -66,11 +67,13 @@ RULES = [
     ("npm", ("npm_",), re.compile(rb"npm_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])"), _crc_token),
     ("slack", ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-"), re.compile(rb"xox[abprs]-[0-9A-Za-z-]{10,}"), None),
     ("pem", ("-----begin ",), re.compile(rb"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----)?"), None),
-    ("jwt", ("eyj",), re.compile(rb"(eyJ[A-Za-z0-9_-]+)\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), _jwt),
+    ("jwt", ("eyj",), re.compile(rb"(eyJ[A-Za-z0-9_-]++)\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]+"), _jwt),
     ("google", ("aiza",), re.compile(rb"AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])"), None),
     ("stripe", ("sk_live_", "rk_live_"), re.compile(rb"[sr]k_live_[0-9A-Za-z]{16,}"), None),
 ]
 _HEX = re.compile(rb"[0-9a-f]{24,}")
+#: Where a rule's pattern fails because of what follows a run, the run.
+_RUNS = {"jwt": re.compile(rb"eyJ[A-Za-z0-9_-]++")}
 BASE = ("assign", "access", "hex")
 KINDS = [*BASE, *(kind for kind, *_ in RULES if kind not in BASE)]
 _RANK = {kind: i for i, kind in enumerate(KINDS)}
@@ -90,9 +93,10 @@ def find(raw: bytes) -> list[tuple[int, int, str]]:
     """(start, end, kind) in bytes, by start, then kind."""
     spans = [(m.start(), m.end(), "hex") for m in _HEX.finditer(raw)]
     done = [0] * len(RULES)
-    # each byte as one character, so places in the automaton's text are places in the bytes
-    hits = sorted((end + 1 - n, i) for end, (i, n) in _automaton().iter(raw.lower().decode("latin-1")))
-    for start, i in hits:
+    # each byte as one character, so places in the automaton's text are places in the bytes; no keyword of a rule
+    # holds another one, so a rule's hits come in the order of their starts
+    for last, (i, n) in _automaton().iter(raw.lower().decode("latin-1")):
+        start = last + 1 - n
         if start < done[i]:
             continue
         kind, _, pattern, test = RULES[i]
@@ -100,6 +104,8 @@ def find(raw: bytes) -> list[tuple[int, int, str]]:
             done[i] = m.end()
             if test is None or test(m):
                 spans.append((start, m.end(), kind))
+        elif kind in _RUNS and (m := _RUNS[kind].match(raw, start)):
+            done[i] = m.end()  # a later start in the run fails for the same reason
     spans.sort(key=lambda s: (s[0], _RANK[s[2]], s[1]))
     return spans
 
