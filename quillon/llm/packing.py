@@ -7,9 +7,11 @@ example is the one whose demand vector has the largest dot product with what the
 (``cut=True``) to fill the rest of the tokens; its remainder goes back to the pool.
 
 Each partition packs its own examples, so no rows move. What is left at its end is laid out in
-sequences whose lengths are powers of two, which need no padding.
+sequences whose lengths are powers of two, which need no padding, and a sequence that runs out of segments
+or loss-bearing tokens first is shortened to such a length.
 
-Defined cases: null text is the empty text (only the end id); an empty table gives an empty table;
+Defined cases: of equal products the example that waits in front is taken; a very long text is encoded whole
+and its ids are held until they are placed; null text is the empty text (only the end id); an empty table gives an empty table;
 rows are independent, so repeated rows are packed each; an example with more loss-bearing tokens or
 tokens than the limit is cut, or refused with an error where cutting is off; other columns are
 ignored.
@@ -27,9 +29,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import TOKENIZER_DIR_FILES, id_text, int64, slices, tokenizer_path
+from ._common import TOKENIZER_DIR_FILES, id_text, slices, tokenizer_path
 
 #: Waiting examples that a sequence chooses from.
 POOL = 128
@@ -112,9 +115,25 @@ def pack(examples: Iterable[Piece], tokens: int = 4096, segments: int = 256, los
             sequence.append(piece)
             left -= piece.length, 1, piece.loss_tokens
             fill()
+        if cut and left[0] > 0:  # segments or loss-bearing tokens have run out first
+            back.extendleft(_round_down(sequence))
         yield sequence
 
 
+def _round_down(sequence: list[Piece]) -> list[Piece]:
+    """Shortens a sequence to a power of two, which needs no padding; gives what it takes off, last piece first."""
+    size = sum(p.length for p in sequence)
+    more, off = size - (1 << (size.bit_length() - 1)), []
+    while more:
+        piece = sequence.pop()
+        if piece.length > more:
+            first, piece = piece.cut(piece.length - more)
+            sequence.append(first)
+        more -= piece.length
+        off.append(piece)
+    return off
+
+
 def _tail(pieces: list[Piece], tokens: int, segments: int, loss: int) -> Iterator[list[Piece]]:
     """The last pieces, under one sequence's tokens in all, in sequences of powers of two."""
     queue = deque(pieces)
@@ -202,8 +221,9 @@ class WordTokenizer:
             split = split.combine_chunks()
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary
-        # a stop after a letter is a word of its own, so fewer words differ
-        cores = pc.replace_substring_regex(words, r"(\pL)[.,]$", r"\1")
+        # a stop after a letter is a word of its own, so fewer words differ; normal form and lower case turn some
+        # letters of other classes into marks, which the stop would join
+        cores = pc.replace_substring_regex(words, r"(\p{Ll})[.,]$", r"\1")
         cut = pc.not_equal(pc.binary_length(cores), pc.binary_length(words)).to_numpy(zero_copy_only=False)
         place = pc.index_in(cores, self.words)
         if place.null_count:
@@ -243,6 +263,46 @@ def word_tokenizer(path: str | None = None) -> WordTokenizer:
     return WordTokenizer(path or tokenizer_path(TOKENIZER_DIR_FILES["word"]))
 
 
+def _pieces(examples: Iterable[tuple], id_type: pa.DataType, masked: bool, tokens: int, segments: int, loss: int | None, pool: int) -> Iterator[pa.RecordBatch]:
+    """Packs examples (row id, ids as bytes, loss mask or None) and gives their pieces in batches."""
+    first = TaskContext.get().partitionId() << 32
+    texts: dict[int, list] = {}  # examples that still have ids to place: row id, ids, mask, ids left
+    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", *(["loss"] if masked else [])]
+    binary = {"ids", "loss"}
+
+    def waiting():
+        for count, (row, ids, mask) in enumerate(examples):
+            if ids:
+                texts[count] = [row, ids, mask, len(ids) // 4]
+                yield Piece(count, 0, len(ids) // 4, mask)
+
+    def flush(rows):
+        columns = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(c, id_type if n == "doc_id" else pa.binary() if n in binary else pa.int64()) for n, c in zip(names, columns, strict=True)], names)
+
+    rows, size = [], 0
+    for k, sequence in enumerate(pack(waiting(), tokens, segments, loss, pool)):
+        at = 0
+        for p in sequence:
+            doc, end = texts[p.example], p.start + p.length
+            row = (doc[0], p.start, p.length, doc[1][4 * p.start : 4 * end], len(doc[1]) // 4, first + k, at)
+            rows.append((*row, doc[2][p.start : end].astype(np.uint8).tobytes()) if masked else row)
+            at, size = at + p.length, size + p.length
+            doc[3] -= p.length
+            if not doc[3]:
+                del texts[p.example]
+        if size > 1 << 19:
+            yield flush(rows)
+            rows, size = [], 0
+    if rows:
+        yield flush(rows)
+
+
+def _piece_type(source: DataFrame, masked: bool) -> T.StructType:
+    names = ["start", "length", "ids", "doc_tokens", "sequence_id", "offset", *(["loss"] if masked else [])]
+    return T.StructType([source.schema["doc_id"], *(T.StructField(c, T.BinaryType() if c in ("ids", "loss") else T.LongType()) for c in names)])
+
+
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = 2, tokens: int = 4096, segments: int = 256, loss: int | None = None, pool: int = POOL, encoder: Callable | None = None) -> DataFrame:
     """(doc_id, start, length, ids binary, doc_tokens, sequence_id, offset): one row a piece.
 
@@ -250,48 +310,52 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     its end id included, lies in exactly one piece; all ids bear loss. ``encoder`` (a string
     array -> flat ids, ids of each text) may replace the word vocabulary.
     """
+    source = id_text(docs, id_col, text_col)
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    id_type = to_arrow_type(source.schema["doc_id"].dataType)
 
     def run(batches):
         encode = encoder or word_tokenizer(path).encode_block
         end = np.array([end_id], "<u4").tobytes()
-        first = TaskContext.get().partitionId() << 32
-        texts: dict[int, tuple] = {}  # examples that still have ids to place: id row, ids, ids left
-        count = 0
 
         def examples():
-            nonlocal count
             for part in slices(batches, 8 << 20):
                 flat, sizes = encode(part.column("text"))
-                ends = np.cumsum(sizes)
-                for i, (size, stop) in enumerate(zip(sizes.tolist(), ends.tolist(), strict=True)):
-                    ids = flat[stop - size : stop].tobytes() + end
-                    texts[count] = [part.column("doc_id")[i].as_py(), ids, len(ids) // 4]
-                    count += 1
-                    yield Piece(count - 1, 0, len(ids) // 4)
-
-        def flush(rows):
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], id_type), *(int64(np.array([r[k] for r in rows], np.int64)) for k in (1, 2)), pa.array([r[3] for r in rows], pa.binary()), *(int64(np.array([r[k] for r in rows], np.int64)) for k in (4, 5, 6))], names)
-
-        rows, size = [], 0
-        for k, sequence in enumerate(pack(examples(), tokens, segments, loss, pool)):
-            at = 0
-            for p in sequence:
-                doc = texts[p.example]
-                rows.append((doc[0], p.start, p.length, doc[1][4 * p.start : 4 * (p.start + p.length)], len(doc[1]) // 4, first + k, at))
-                at, size = at + p.length, size + p.length
-                doc[2] -= p.length
-                if not doc[2]:
-                    del texts[p.example]
-            if size > 1 << 19:
-                yield flush(rows)
-                rows, size = [], 0
-        if rows:
-            yield flush(rows)
+                for row, size, stop in zip(part.column("doc_id"), sizes.tolist(), np.cumsum(sizes).tolist(), strict=True):
+                    yield row.as_py(), flat[stop - size : stop].tobytes() + end, None
 
-    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-    source = id_text(docs, id_col, text_col)
+        yield from _pieces(examples(), id_type, False, tokens, segments, loss, pool)
+
+    return source.mapInArrow(run, _piece_type(source, False))
+
+
+def pack_examples(rows: DataFrame, id_col: str = "doc_id", parts_col: str = "parts", path: str | None = None, end_id: int = 2, tokens: int = 4096, segments: int = 256, loss: int | None = None, pool: int = POOL, encoder: Callable | None = None) -> DataFrame:
+    """The pieces of instruction examples, as of ``pack_documents``, with the column loss: a byte for each id, 1 where it bears loss.
+
+    ``parts_col`` is an array of (text, bears): the ids of an example are those of its parts one after the other
+    and the end id, and bear loss where their part does; the end id does as the last part. ``loss`` limits a
+    sequence's loss-bearing ids. Null parts, texts and flags count as no parts, empty texts and false.
+    """
+    part = F.transform(F.coalesce(rows[parts_col], F.array().cast(rows.schema[parts_col].dataType)), lambda p: F.struct(F.coalesce(p["text"], F.lit("")).alias("text"), F.coalesce(p["bears"], F.lit(False)).alias("bears")))
+    source = rows.select(rows[id_col].alias("doc_id"), part.alias("parts"))
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type = to_arrow_type(source.schema["doc_id"].dataType)
-    long = [T.StructField(c, T.BinaryType() if c == "ids" else T.LongType()) for c in names[1:]]
-    return source.mapInArrow(run, T.StructType([source.schema["doc_id"], *long]))
+
+    def run(batches):
+        encode = encoder or word_tokenizer(path).encode_block
+        end = np.array([end_id], "<u4")
+
+        def examples():
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    parts = batch.column("parts").slice(i, 1).flatten()
+                    flat, sizes = encode(parts.field("text"))
+                    bears = parts.field("bears").to_numpy(zero_copy_only=False).astype(bool)
+                    mask = np.append(np.repeat(bears, sizes), bears[-1:].any())
+                    yield batch.column("doc_id")[i].as_py(), np.append(flat.astype("<u4"), end).tobytes(), mask
+
+        yield from _pieces(examples(), id_type, True, tokens, segments, loss, pool)
+
+    return source.mapInArrow(run, _piece_type(source, True))

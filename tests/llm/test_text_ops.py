@@ -133,6 +133,19 @@ def test_checksums_decide():
     assert [s[2] for s in secrets.find_text(jwt + " eyJhbGci!")] == ["jwt"]
 
 
+def test_hostile_texts_take_linear_time():
+    import base64
+    import time
+
+    deep = base64.urlsafe_b64encode(b'{"alg":' * 1_000_000).rstrip(b"=").decode()
+    for text in ("eyJ" * 3_400_000, "eyJa.eyJ" * 600_000, f"{deep}.eyJhbGciOiJI.abc", "-----BEGIN " + "A " * 2_000_000, "token" + " " * 5_000_000 + "token=", "xox" * 2_000_000):
+        start = time.process_time()
+        assert secrets.find_text(text) == []
+        assert time.process_time() - start < 10
+    many = "eyJ" * 10_000 + " eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxIn0.c2ln"
+    assert [s[2] for s in secrets.find_text(many)] == ["jwt"]
+
+
 def test_secret_rows(docs):
     got = {r["doc_id"]: r for r in secrets.digest(docs).collect()}
     for i, text in enumerate(TEXTS):
@@ -243,6 +256,46 @@ def test_pack_places_each_id_once_within_all_limits(lengths, pool, segments):
     assert all((x == 1).all() for x in seen)
 
 
+def test_short_examples_need_no_padding():
+    """Segments run out long before tokens do, or loss-bearing tokens do; lengths are powers of two then."""
+    for loss, limit in ((None, None), (np.ones(5, bool), 100)):
+        sequences = list(packing.pack((packing.Piece(i, 0, 5, loss) for i in range(3000)), 4096, 64, limit))
+        sizes = [sum(p.length for p in s) for s in sequences]
+        assert sum(sizes) == 15_000 and not any(n & (n - 1) for n in sizes)
+        assert all(len(s) <= 64 and (limit is None or sum(p.loss_tokens for p in s) <= limit) for s in sequences)
+
+
+def test_each_of_three_limits_binds(spark):
+    """Conversations: what the assistant says bears loss."""
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    part = F.struct("turn", "text", (F.col("role") == "assistant").alias("bears"))
+    rows = turns.groupBy(F.col("conv_id").alias("doc_id")).agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    odd = spark.createDataFrame([(-1, None), (-2, [(1, None, None)]), (-3, [])], "doc_id long, parts array<struct<turn:int,text:string,bears:boolean>>")
+    rows = rows.unionByName(odd).coalesce(2).withColumn("ids", F.lit("clash"))
+    tok, given = packing.word_tokenizer(), {r["doc_id"]: r["parts"] or [] for r in rows.collect()}
+    bound = {}
+    for name, limits in (("tokens", {"tokens": 512, "segments": 500, "loss": 512}), ("segments", {"tokens": 4096, "segments": 4, "loss": 4096}), ("loss", {"tokens": 2048, "segments": 500, "loss": 64})):
+        got = packing.pack_examples(rows, **limits).collect()
+        sequences, examples = {}, {}
+        for r in got:
+            sequences.setdefault(r["sequence_id"], []).append(r)
+            examples.setdefault(r["doc_id"], []).append(r)
+        used = [(sum(r["length"] for r in s), len(s), sum(sum(r["loss"]) for r in s)) for s in sequences.values()]
+        assert all(u[0] <= limits["tokens"] and u[1] <= limits["segments"] and u[2] <= limits["loss"] for u in used)
+        bound[name] = {c: sum(u[k] == limits[c] for u in used) for k, c in enumerate(("tokens", "segments", "loss"))}
+        assert set(examples) == set(given)
+        for i, mine in examples.items():
+            mine.sort(key=lambda r: r["start"])
+            ids, loss = [], []
+            for p in given[i]:
+                new = tok.model.encode(p["text"] or "", add_special_tokens=False).ids
+                ids, loss = ids + new, loss + [int(bool(p["bears"]))] * len(new)
+            last = int(bool(given[i] and given[i][-1]["bears"]))
+            assert np.frombuffer(b"".join(bytes(r["ids"]) for r in mine), "<u4").tolist() == [*ids, 2]
+            assert b"".join(bytes(r["loss"]) for r in mine) == bytes([*loss, last])
+    assert all(bound[c][c] > 0 for c in bound), bound
+
+
 def test_pack_without_cuts():
     items = [packing.Piece(i, 0, n) for i, n in enumerate([60, 30, 34, 4, 64, 1])]
     sequences = list(packing.pack(items, 64, cut=False))
@@ -253,7 +306,7 @@ def test_pack_without_cuts():
 
 
 @settings(max_examples=80, deadline=None)
-@given(st.lists(st.lists(st.sampled_from(["Word", "word.", "it's", "İx", "ΑΣ", "...", "a.", "é", "x1,", "日本", " ", "\n", " ", "<|endoftext|>", "DON'T", "a.b.", ".", "-,"]), max_size=12), max_size=5))
+@given(st.lists(st.lists(st.sampled_from(["Word", "word.", "it's", "İx", "İ.", "aİ,", "क़.", "ΑΣ", "...", "a.", "é", "x1,", "日本", " ", "\n", " ", "<|endoftext|>", "DON'T", "a.b.", ".", "-,"]), max_size=12), max_size=5))
 def test_word_ids_equal_the_library(parts):
     import pyarrow as pa
 
@@ -266,6 +319,20 @@ def test_word_ids_equal_the_library(parts):
         at += n
 
 
+def test_stops_after_any_letter():
+    """Normal form and lower case turn some letters into others with marks."""
+    import unicodedata
+
+    import pyarrow as pa
+
+    letters = [c for c in map(chr, range(0x41, 0x3000)) if unicodedata.category(c)[0] in "LM"]
+    texts = [f"{c}. a{c}," for c in letters]
+    tok = packing.word_tokenizer()
+    flat, sizes = tok.encode_block(pa.array(texts))
+    want = [e.ids for e in tok.model.encode_batch_fast(texts, add_special_tokens=False)]
+    assert sizes.tolist() == [len(w) for w in want] and flat.tolist() == [i for w in want for i in w]
+
+
 def test_packed_documents(docs):
     tok = packing.word_tokenizer()
     got = packing.pack_documents(docs).collect()
