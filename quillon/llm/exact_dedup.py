@@ -5,11 +5,12 @@
 3. Those candidates are counted exactly and their winners found; at most ``heavy`` are kept.
 4. The winners are broadcast: rows of a frequent digest are settled on the map side, without a
    shuffle, so the largest group of copies costs no more than any other rows.
-5. The remaining digests use an ordinary shuffle; none of them is frequent.
+5. The remaining digests use an ordinary shuffle: they are counted with partial sums, and only those that
+   occur again are grouped and joined.
 
 Of equal texts the row with the most code points stays, then the smallest id.
 
-Defined cases: null text counts as empty text, and all empty texts are equal; a null id sorts after
+Defined cases: a very long text is digested whole; null text counts as empty text, and all empty texts are equal; a null id sorts after
 every other id; rows repeating an id and a text are one group, of which ``deduplicate`` keeps one
 row; an empty table gives an empty result; other columns pass through ``deduplicate`` untouched,
 whatever their names.
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import bit_filter, split_by_filter, staged
@@ -72,15 +73,20 @@ def frequent(digests: DataFrame, k: int = HEAVY) -> DataFrame:
     return merged.orderBy(F.desc("seen"), "digest").limit(k)
 
 
-def _order() -> list[Column]:
-    return [F.desc("len"), F.asc_nulls_last("id")]
+def _best() -> Column:
+    """The row that stays: most code points, then the smallest id."""
+    return F.min(F.struct((-F.col("len")).alias("neg"), F.col("id").isNull().alias("no_id"), F.col("id").alias("id"))).alias("best")
+
+
+def _repeated(thin: DataFrame) -> DataFrame:
+    """A bit filter of the digests that occur more than once; counting combines on the map side."""
+    return bit_filter(thin.groupBy("digest").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "digest")
 
 
 def _winners(thin: DataFrame, heavy: int) -> DataFrame:
     """(digest, keep_id, keep_len, group_size) of the frequent digests, exact; at most ``heavy`` rows."""
     candidates = F.broadcast(frequent(thin.select("digest"), heavy).select("digest"))
-    best = F.min(F.struct((-F.col("len")).alias("neg"), F.col("id").isNull().alias("no_id"), F.col("id").alias("id"))).alias("best")
-    found = thin.join(candidates, "digest", "left_semi").groupBy("digest").agg(best, F.count(F.lit(1)).alias("group_size"))
+    found = thin.join(candidates, "digest", "left_semi").groupBy("digest").agg(_best(), F.count(F.lit(1)).alias("group_size"))
     return found.select("digest", F.col("best.id").alias("keep_id"), (-F.col("best.neg")).alias("keep_len"), "group_size")
 
 
@@ -91,10 +97,13 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heav
     winners = staged(_winners(thin, heavy), "exact-winners")
     settled = thin.join(F.broadcast(winners.drop("keep_len")), "digest")
     rest = thin.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
-    whole = Window.partitionBy("digest")
-    rest = rest.withColumn("keep_id", F.first("id").over(whole.orderBy(*_order()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).withColumn("group_size", F.count(F.lit(1)).over(whole))
+    # most texts occur once and are settled without moving
+    maybe, single = split_by_filter(rest, "digest", staged(_repeated(rest), "exact-repeated"))
+    best = maybe.groupBy("digest").agg(_best(), F.count(F.lit(1)).alias("group_size"))
+    found = maybe.join(best, "digest").withColumn("keep_id", F.col("best.id"))
+    single = single.withColumn("keep_id", F.col("id")).withColumn("group_size", F.lit(1))
     columns = [F.col("id").alias("doc_id"), "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")]
-    return settled.select(*columns).unionByName(rest.select(*columns))
+    return settled.select(*columns).unionByName(found.select(*columns)).unionByName(single.select(*columns))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY) -> DataFrame:
@@ -106,8 +115,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # frequent texts lose all but their winner here, before the shuffle
     left = keyed.join(F.broadcast(winners), "digest", "left").where(F.col("group_size").isNull() | (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("len") == F.col("keep_len"))))
     # only texts that occur again are shuffled; a filter of fixed size lets the others pass
-    again = thin.groupBy("digest").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("digest")
-    maybe, single = split_by_filter(left, "digest", bit_filter(again, "digest"))
-    first = F.row_number().over(Window.partitionBy("digest").orderBy(*_order()))
-    kept = maybe.withColumn("place", first).where("place = 1")
+    repeated = staged(_repeated(thin), "exact-repeated")
+    maybe, single = split_by_filter(left, "digest", repeated)
+    again, _ = split_by_filter(thin, "digest", repeated)
+    kept = maybe.join(again.groupBy("digest").agg(_best()), "digest").where((F.col("len") == -F.col("best.neg")) & F.col("id").eqNullSafe(F.col("best.id")))
+    # rows that repeat an id and a text
+    kept = kept.select("digest", "row").dropDuplicates(["digest"])
     return kept.select("row.*").unionByName(single.select("row.*"))
