@@ -16,7 +16,7 @@ the exact Jaccard index of the full shingle sets.
 Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z in lower case; a set holds the distinct shingles
 of five words, or the whole sequence where there are fewer. Shingles are compared by 64-bit hashes.
 
-Defined cases: null text and text without words have an empty set, which links with nothing; a row
+Defined cases: a very long text is hashed piece by piece, but its whole set is held at once; null text and text without words have an empty set, which links with nothing; a row
 with a null id links with nothing and stays (its component is null); rows that repeat an id are one
 node, linked by any of their texts; an empty table gives an empty result; other columns are ignored
 by ``near_duplicates`` and pass through ``deduplicate`` untouched.
@@ -75,8 +75,30 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+#: Bytes of text that are hashed at once (more only within one word).
+PIECE = 1 << 20
+
+
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word, and the number of words of each text."""
+    hashes, counts, start = [np.zeros(0, _U)], np.zeros(len(offsets) - 1, np.int64), 0
+    while start < len(raw):
+        end = start + PIECE
+        while end < len(raw):  # up to white space, where no word goes on
+            some = raw[end : end + PIECE]
+            white = np.flatnonzero((some == 32) | ((some >= 9) & (some <= 13)))
+            end += int(white[0]) if len(white) else PIECE
+            if len(white):
+                break
+        end = min(end, len(raw))
+        h, n = _word_hashes(raw[start:end], np.clip(offsets, start, end) - start)
+        hashes.append(h)
+        counts += n
+        start = end
+    return np.concatenate(hashes), counts
+
+
+def _word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(raw):
         return np.zeros(0, _U), np.zeros(len(offsets) - 1, np.int64)
     low = np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw)
@@ -192,11 +214,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_bands, n_rows = bands or BANDS[percent]
     thin = staged(sketch(docs, n_bands, n_rows, id_col, text_col, size), "minhash-sketch")
     linkable = thin.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = staged(linkable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("members")), "minhash-classes")
-    marked = linkable.join(classes.withColumnRenamed("node", "doc_id"), ["set_a", "set_b", "doc_id"], "left_semi")
-    buckets = marked.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    of_bucket = Window.partitionBy("bucket")
-    members = staged(buckets.withColumn("lo", F.min("node").over(of_bucket)).withColumn("hi", F.max("node").over(of_bucket)).where("lo <> hi").withColumn("size", F.count(F.lit(1)).over(of_bucket)).select("bucket", "node", "n", "size"), "minhash-members")
+    # equal sets have equal sizes and bands
+    classes = linkable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("members"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = staged(classes, "minhash-classes")
+    buckets = classes.select("node", "n", F.explode("bands").alias("bucket"))
+    # most buckets hold one class: a filter of fixed size drops them where they are made
+    several = buckets.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("bucket", "size")
+    several = staged(several, "minhash-buckets")
+    maybe, _ = split_by_filter(buckets, "bucket", bit_filter(several, "bucket"))
+    members = staged(maybe.join(several, "bucket").select("bucket", "node", "n", "size"), "minhash-members")
 
     # texts that one id repeated with other texts holds together
     repeated = staged(thin.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id"), "minhash-repeated")
@@ -222,17 +248,16 @@ def _link(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, perce
     sets = staged(sets.withColumn("set_id", F.monotonically_increasing_id()), "minhash-sets")
 
     central = members.groupBy("node").agg(F.sum("size").alias("weight"))
-    pivot = F.max(F.struct("weight", (-F.col("n")).alias("less"), "node", "n")).over(Window.partitionBy("bucket")).alias("pivot")
-    stars = members.join(central, "node").select("node", "n", pivot).where("node <> pivot.node").where(_possible(F.col("n"), F.col("pivot.n"), percent))
+    pivots = members.join(central, "node").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("n")).alias("less"), "node", "n")).alias("pivot"))
+    stars = members.join(pivots, "bucket").where("node <> pivot.node").where(_possible(F.col("n"), F.col("pivot.n"), percent))
     stars = staged(stars.select(*_pair(F.col("pivot.node"), F.col("node"))).distinct(), "minhash-pairs")
     links = staged(_confirm(stars, sets, percent), "minhash-links")
 
     # buckets that hold several components
     groups = components(links)
     found = members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    of_bucket = Window.partitionBy("bucket")
-    found = found.withColumn("lo", F.min("component").over(of_bucket)).withColumn("hi", F.max("component").over(of_bucket)).where("lo <> hi")
-    left = staged(found.groupBy("node").agg(F.first("component").alias("component")), "minhash-open")
+    mixed = found.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+    left = staged(found.join(mixed, "bucket", "left_semi").groupBy("node").agg(F.first("component").alias("component")), "minhash-open")
     pairs = staged(_by_prefix(left, sets, percent).join(stars, ["u", "v"], "left_anti"), "minhash-pairs")
     return links.unionByName(_confirm(pairs, sets, percent))
 
@@ -252,14 +277,20 @@ def _by_prefix(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     short = n - F.floor((2 * percent * n + 99 + percent) / (100 + percent)) + 1
     long = n - F.floor((percent * n + 99) / 100) + 1
     rows = rows.join(often, "shingle").withColumn("place", place).withColumn("short", short).withColumn("long", long)
-    rows = staged(rows.where((F.col("place") <= F.col("long")) & (F.col("often") > 1)).select("shingle", "node", "component", "n", "place", "short"), "minhash-prefix")
-    a = rows.where(F.col("place") <= F.col("short")).select("shingle", *[F.col(c).alias(f"a_{c}") for c in ("node", "component", "n", "place")])
-    b = rows.select("shingle", *[F.col(c).alias(f"b_{c}") for c in ("node", "component", "n", "place")])
+    rows = rows.where((F.col("place") <= F.col("long")) & (F.col("often") > 1)).select("shingle", "node", "component", "n", "place", "short")
+    rows = staged(rows, "minhash-prefix")
+    # a large component that shares a shingle must not meet itself: one side of a pair is outside the largest one
+    largest = rows.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("shingle").agg(F.max(F.struct("c", "component")).alias("most"), F.count(F.lit(1)).alias("parts"))
+    rows = rows.join(largest.where("parts > 1").select("shingle", F.col("most.component").alias("main")), "shingle")
+    rows = staged(rows.withColumn("outside", F.col("component") != F.col("main")).drop("main"), "minhash-prefix")
+    a = rows.where(F.col("place") <= F.col("short")).select("shingle", *[F.col(c).alias(f"a_{c}") for c in ("node", "component", "n", "place", "outside")])
+    b = rows.select("shingle", *[F.col(c).alias(f"b_{c}") for c in ("node", "component", "n", "place", "outside")])
     smaller = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_node") != F.col("b_node")))
     rest = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place")) + 1
     enough = (100 + percent) * rest >= percent * (F.col("a_n") + F.col("b_n"))
-    pairs = a.join(b, "shingle").where(smaller & (F.col("a_component") != F.col("b_component")) & _possible(F.col("a_n"), F.col("b_n"), percent) & enough)
-    return pairs.select(*_pair(F.col("a_node"), F.col("b_node"))).distinct()
+    fit = smaller & (F.col("a_component") != F.col("b_component")) & _possible(F.col("a_n"), F.col("b_n"), percent) & enough
+    met = a.where("a_outside").join(b, "shingle").where(fit).unionByName(a.where("NOT a_outside").join(b.where("b_outside"), "shingle").where(fit))
+    return met.select(*_pair(F.col("a_node"), F.col("b_node"))).distinct()
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:

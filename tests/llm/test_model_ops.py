@@ -348,3 +348,34 @@ def test_footrule_equals_its_definition():
         places[mine] = np.arange(7)
         at = lambda o, p: list(o).index(p) if p in o else 7
         assert ann.footrule(orders, places).tolist() == [sum(abs(at(o, p) - at(mine, p)) for p in range(20)) for o in orders]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="aB \n\x0bé.", max_size=60), min_size=1, max_size=5), st.integers(1, 40))
+def test_pieces_do_not_change_word_hashes(texts, piece):
+    raw, offsets = text_bytes(pa.array(texts))
+    kept, whole = minhash.PIECE, minhash.word_hashes(raw, offsets)
+    minhash.PIECE = piece
+    try:
+        parts = minhash.word_hashes(raw, offsets)
+    finally:
+        minhash.PIECE = kept
+    assert parts[0].tolist() == whole[0].tolist() and parts[1].tolist() == whole[1].tolist()
+    assert whole[1].tolist() == [len(words(t)) for t in texts]
+
+
+def test_a_large_family_among_others(spark):
+    """A family of near copies shares most of its words with texts that aren't near; one bucket holds several components."""
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(100)]
+    family = [" ".join([*common, *(f"f{j}" for j in range(80)), f"x{i}"]) for i in range(150)]
+    others = [" ".join([*common, *(f"o{i}_{j}" for j in range(rng.randrange(10, 60)))]) for i in range(60)]
+    chain = [" ".join(f"k{j}" for j in range(i, i + 120)) for i in range(0, 24, 4)]
+    texts = family + others + chain + ["long " * 300_000, "long " * 300_000 + "end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [plain_set(t) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    want = plain_components(range(len(texts)), links)
+    for bands in (None, (60, 2)):  # the second gives crowded buckets
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, bands=bands).collect()}
+        assert got == want
