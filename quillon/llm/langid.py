@@ -1,23 +1,28 @@
 """Language identification with a bidirectional gated recurrent network over bytes.
 
 The network labels every byte of a text: a forward and a backward GRU read windows of the text's
-bytes, and a softmax over both states gives each position's language. A document's probabilities are
-the mean over all its positions, each of them in exactly one window, so whole texts count.
+bytes, and a softmax over both states gives each position's language. Windows follow one another without
+overlap and start with empty states, so a position is judged within its ``WINDOW`` bytes. A document's
+probabilities are the mean over all its positions, each of them in exactly one window, so whole texts count.
 
-Training is backpropagation through time in numpy on the driver, over windows from a bounded sample
-of labelled rows (``SAMPLE`` rows of each language, the ones with the smallest hash of id and text).
-Inference is numpy over thousands of windows at a time.
+Training is backpropagation through time in numpy on the driver, from a bounded sample: of each language
+``SAMPLE`` labelled rows, those with the smallest hash of id and text among different ones, and of the windows
+of their whole texts ``TRAINED``, those with the smallest hash. What finds the sample is read in parallel and
+reduced before it moves. Inference is numpy over thousands of windows at a time.
 
 For ``keep_known`` the network has one more class, no language: it also learns windows of random letters of
 many scripts, of encodings, and of sampled texts with their letters in random order. A text goes where its
 positions in the languages, all of them together, have a mean probability under ``LEAST``, or under what nearly
-all sampled rows reach if that is less. So a text in two languages stays. Where a text falls short, its words
-without digits and addresses are judged once more by themselves.
+all sampled rows reach if that is less; each text counts as if it began with ``PRIOR`` positions in a language,
+so a text too short to tell stays. So does a text in two languages. Where a text falls short, its words without
+digits and addresses are judged once more by themselves.
 
 Defined cases: null text, and text without a letter, is ``und`` with score 0; with no labelled row
-everything is ``und``, but ``keep_known`` then keeps every text that has a letter; a null lang is not learned from; a null id counts as the empty text when rows
-are split into folds; repeated rows are labelled each; an empty table gives an empty table; other
-columns are ignored by ``predict`` and pass through ``keep_known`` untouched.
+everything is ``und``, but ``keep_known`` then keeps every text that has a letter; of equal probabilities the
+language first in order of names counts; a very long text is read whole, some windows at a time; a null lang is
+not learned from; a null id counts as the empty text when rows are split into folds; repeated rows are labelled
+each and learned from once; an empty table gives an empty table; other columns are ignored by ``predict`` and
+pass through ``keep_known`` untouched.
 """
 
 from __future__ import annotations
@@ -32,11 +37,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import crc_mod, id_text, slices, small_batches, text_bytes
+from ._common import crc_mod, id_text, slices, small_batches, staged, text_bytes
 
-#: Labelled rows of each language that the network is fitted on, and windows taken from each row.
+#: Labelled rows of each language that the network is fitted on, and windows of their whole texts that it learns.
 SAMPLE = 400
-WINDOWS = 8
+TRAINED = 1600
 #: Bytes of a window, units of a direction, numbers of an embedded byte.
 WINDOW = 64
 UNITS = 8
@@ -46,6 +51,8 @@ _BATCH = 4096
 #: The least share of a text in the learned languages, and the share of sampled rows that may fall short of it.
 LEAST = 0.5
 STRAY = 0.001
+#: Positions in a language that every text is given beside its own.
+PRIOR = 64
 #: What says nothing about a language, though it has letters.
 _CODES = r"\S*[0-9@]\S*"
 
@@ -78,8 +85,8 @@ def _sigmoid(x):
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def _forward(net: Network, steps: np.ndarray, direction: int, keep: list | None = None) -> np.ndarray:
-    """States of a direction after each step, in the order of ``steps`` (T x B bytes)."""
+def _forward(net: Network, steps: np.ndarray, direction: int, inside: np.ndarray | None = None, keep: list | None = None) -> np.ndarray:
+    """States of a direction after each step, in the order of ``steps`` (T x B bytes); empty where not ``inside``."""
     table, u = net.tables()[direction], net.recurrent[direction].astype(np.float32)
     h_size = u.shape[0]
     h = np.zeros((steps.shape[1], h_size), np.float32)
@@ -92,10 +99,17 @@ def _forward(net: Network, steps: np.ndarray, direction: int, keep: list | None
         if keep is not None:
             keep.append((h, z, r, n))
         h = n + z * (h - n)
+        if inside is not None:
+            h *= inside[t][:, None]
         states[t] = h
     return states
 
 
+def _inside(sizes: np.ndarray, width: int) -> np.ndarray:
+    """T x B: whether a place of a window holds a byte of the text, backwards."""
+    return np.arange(width)[::-1, None] < sizes[None]
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(-1, keepdims=True))
     return e / e.sum(-1, keepdims=True)
@@ -105,7 +119,7 @@ def position_probabilities(net: Network, windows: np.ndarray, sizes: np.ndarray)
     """B x T x K: the languages of every byte of B windows (B x T, zeros after ``sizes``)."""
     steps = windows.T
     ahead = _forward(net, steps, 0)
-    back = _forward(net, steps[::-1], 1)[::-1]
+    back = _forward(net, steps[::-1], 1, _inside(sizes, len(steps)))[::-1]
     h = ahead.shape[2]
     scores = ahead @ net.out[:h].astype(np.float32) + back @ net.out[h:].astype(np.float32) + net.out_bias.astype(np.float32)
     return _softmax(scores).transpose(1, 0, 2)
@@ -117,7 +131,8 @@ def gradients(net: Network, windows: np.ndarray, sizes: np.ndarray, labels: np.n
     t_max, batch = steps.shape
     mask = (np.arange(t_max)[:, None] < sizes[None]).astype(float)
     kept: list[list] = [[], []]
-    states = [_forward(net, steps, 0, kept[0]), _forward(net, steps[::-1], 1, kept[1])[::-1]]
+    inside = _inside(sizes, t_max)
+    states = [_forward(net, steps, 0, None, kept[0]), _forward(net, steps[::-1], 1, inside, kept[1])[::-1]]
     both = np.concatenate(states, axis=2)
     p = _softmax(both @ net.out + net.out_bias)
     rows = np.arange(batch)
@@ -137,7 +152,7 @@ def gradients(net: Network, windows: np.ndarray, sizes: np.ndarray, labels: np.n
         d_table, d_u, d_h = np.zeros((256, 3 * h)), np.zeros_like(u), np.zeros((batch, h))
         for t in range(t_max - 1, -1, -1):
             before, z, r, n = kept[direction][t]
-            d_h = d_h + flow[t]
+            d_h = d_h + flow[t] if direction == 0 else (d_h + flow[t]) * inside[t][:, None]
             d_n = d_h * (1 - z) * (1 - n * n)
             d_z = d_h * (before - n) * z * (1 - z)
             d_rh = d_n @ u[:, 2 * h :].T
@@ -177,59 +192,113 @@ def fit(net: Network, windows: np.ndarray, sizes: np.ndarray, labels: np.ndarray
     return net
 
 
-def cut_windows(raw: np.ndarray, offsets: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All bytes of all texts in windows: (n x width bytes, sizes, the text of each window)."""
+def window_places(offsets: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where the windows of all texts begin, their sizes, the text of each, and its number in the text."""
     lengths = np.diff(offsets)
     counts = -(-lengths // width)
     owner = np.repeat(np.arange(len(lengths)), counts)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     begin = offsets[:-1][owner] + nth * width
-    sizes = np.minimum(width, offsets[1:][owner] - begin)
-    padded = np.concatenate([raw, np.zeros(width, np.uint8)])
-    windows = padded[begin[:, None] + np.arange(width)]
+    return begin, np.minimum(width, offsets[1:][owner] - begin), owner, nth
+
+
+def take_windows(raw: np.ndarray, begin: np.ndarray, sizes: np.ndarray, width: int = WINDOW) -> np.ndarray:
+    """n x width bytes, zeros after a window's size."""
+    if not len(raw):
+        return np.zeros((0, width), np.uint8)
+    at = begin[:, None] + np.arange(width)
+    windows = raw.take(np.minimum(at, len(raw) - 1))
     windows[np.arange(width) >= sizes[:, None]] = 0
-    return windows, sizes, owner
+    return windows
+
+
+def cut_windows(raw: np.ndarray, offsets: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes of all texts in windows: (n x width bytes, sizes, the text of each window)."""
+    begin, sizes, owner, _ = window_places(offsets, width)
+    return take_windows(raw, begin, sizes, width), sizes, owner
 
 
 def sample_rows(docs: DataFrame, rows: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, text): at most ``rows`` labelled rows of each language outside the held-out fold."""
+    """(lang, h, text): at most ``rows`` labelled rows of each language outside the held-out fold.
+
+    Only rows whose hash is under a bound that follows from the number of different rows of their language are
+    grouped, a few times ``rows`` of them, whatever the size of the table and however often a row repeats.
+    """
     learn = docs.select(docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang"), docs[id_col].alias("doc_id")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (crc_mod(F.col("doc_id"), 5) != 0))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "lang"), "doc_id"))
-    # a row gives a few windows, so an excerpt around a place that its hash picks is all that travels
-    span = WINDOWS * WINDOW
-    at = F.pmod(F.xxhash64("doc_id", F.lit("at")), F.greatest(F.char_length("text") - span, F.lit(1))) + 1
-    return learn.select("lang", "doc_id", F.substring("text", at, F.lit(span)).alias("text")).withColumn("place", place).where(F.col("place") <= rows).select("lang", "text")
+    learn = learn.select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
+    different = learn.groupBy("lang").agg(F.approx_count_distinct("h", 0.05).alias("n")).collect()
+    span = float(2**64)
+    # the count may be off by several times five percent, and the number of hashes under a bound varies too
+    bounds = [(r["lang"], min(2**63 - 1, int(4 * rows / max(r["n"], 1) * span) - 2**63)) for r in different]
+    under = docs.sparkSession.createDataFrame(bounds, "lang string, bound long")
+    some = learn.join(F.broadcast(under), "lang").where("h <= bound").groupBy("lang", "h").agg(F.min("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    return staged(some.withColumn("place", place).where(F.col("place") <= rows).select("lang", "h", "text"), "langid-sample")
+
+
+def _spread(h: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    """A hash of 62 bits for each window of a row."""
+    x = h.astype(np.int64).view(np.uint64) + (nth.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(2)).view(np.int64)
+
+
+def sample_windows(rows: DataFrame, most: int = TRAINED) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(languages, n x WINDOW bytes, sizes, language numbers): of each language at most ``most`` windows of the rows' whole texts."""
+    total = {r["lang"]: int(r["n"]) for r in rows.groupBy("lang").agg(F.sum(F.ceil(F.octet_length("text") / WINDOW)).alias("n")).collect()}
+    bound = {lang: int(2**62 * min(1.0, 2 * most / n)) for lang, n in total.items()}
+
+    def run(batches):
+        for part in slices(batches):
+            raw, offsets = text_bytes(part.column("text"))
+            begin, sizes, owner, nth = window_places(offsets)
+            limit = np.array([bound[x] for x in part.column("lang").to_pylist()], np.int64)
+            order = _spread(part.column("h").to_numpy(zero_copy_only=False)[owner], nth)
+            few = np.flatnonzero(order <= limit[owner])
+            windows = take_windows(raw, begin[few], sizes[few])
+            yield pa.RecordBatch.from_arrays([part.column("lang").take(pa.array(owner[few])), pa.array(order[few]), pa.array([w.tobytes() for w in windows], pa.binary()), pa.array(sizes[few].astype(np.int32))], ["lang", "h", "bytes", "size"])
+
+    found = rows.mapInArrow(run, "lang string, h long, bytes binary, size int").toPandas().sort_values(["lang", "h", "bytes"], kind="stable")
+    found = found.groupby("lang", sort=True).head(most)
+    labels = sorted(total)
+    windows = np.frombuffer(b"".join(found["bytes"]), np.uint8).reshape(-1, WINDOW)
+    return labels, windows, found["size"].to_numpy(np.int64), found["lang"].map({x: i for i, x in enumerate(labels)}).to_numpy(np.int64)
 
 
 def train(docs: DataFrame, rows: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", none: bool = False, **options) -> Network | None:
     """The network fitted on a bounded sample of ``docs``; None where nothing is labelled. With ``none`` the last class is no language."""
-    found = sample_rows(docs, rows, id_col, text_col, lang_col).toPandas().sort_values(["lang", "text"], kind="stable")
-    if found.empty:
+    small_batches(docs.sparkSession)
+    sample = sample_rows(docs, rows, id_col, text_col, lang_col)
+    labels, windows, sizes, which = sample_windows(sample)
+    if not labels:
         return None
-    labels = sorted(found["lang"].unique())
-    raw, offsets = text_bytes(pa.array(found["text"].tolist(), pa.string()))
-    windows, sizes, owner = cut_windows(raw, offsets)
-    number = {name: i for i, name in enumerate(labels)}
     # every language counts alike
-    which = found["lang"].map(number).to_numpy()[owner]
     rng = np.random.default_rng(3)
-    most = min(np.bincount(which).max(), rows * WINDOWS // 2)
+    most = np.bincount(which).max()
     picked = np.concatenate([rng.permutation(np.resize(rng.permutation(np.flatnonzero(which == k)), most)) for k in range(len(labels))])
     if not none:
         return fit(new_network(labels), windows[picked], sizes[picked], which[picked], **options)
-    odd, odd_sizes, _ = cut_windows(*text_bytes(pa.array(noise(found["text"].tolist(), rows), pa.string())))
+    texts = [w[:n].tobytes().decode(errors="ignore") for w, n in zip(windows, sizes, strict=True)]
+    odd, odd_sizes, _ = cut_windows(*text_bytes(pa.array(noise(texts, max(1, most // 4)), pa.string())))
     some = rng.permutation(np.resize(rng.permutation(len(odd)), most))
     every = [np.concatenate(x) for x in ((windows[picked], odd[some]), (sizes[picked], odd_sizes[some]), (which[picked], np.full(most, len(labels))))]
     net = fit(new_network([*labels, "und"]), *every, **options)
-    share = document_probabilities(net, raw, offsets)[:, :-1].sum(1)
+
+    def shares(batches):
+        for part in slices(batches):
+            raw, offsets = text_bytes(part.column("text"))
+            yield pa.RecordBatch.from_arrays([pa.array(_share(document_probabilities(net, raw, offsets), offsets))], ["share"])
+
+    share = sample.select("text").mapInArrow(shares, "share double").toPandas()["share"]
     net.least = min(LEAST, float(np.quantile(share, STRAY)))
     return net
 
 
 def noise(texts: list[str], count: int, seed: int = 11) -> list[str]:
-    """Texts in no language: random letters of a script, random letters of an encoding, letters of a text in random order."""
+    """Texts in no language: random letters of a script, random letters of an encoding, letters of some texts in random order."""
     rng = np.random.default_rng(seed)
-    span, low = WINDOWS * WINDOW, string.ascii_lowercase
+    span, low = 8 * WINDOW, string.ascii_lowercase
     encodings = ["0123456789abcdef", low.upper() + low + string.digits + "+/", low, low.upper()]
     out = []
     for i in range(count):
@@ -240,7 +309,7 @@ def noise(texts: list[str], count: int, seed: int = 11) -> list[str]:
         elif i % 3 == 1:
             t = list(rng.choice(list(encodings[rng.integers(len(encodings))]), span))
         else:
-            t = list(rng.permutation(list(texts[rng.integers(len(texts))])))
+            t = list(rng.permutation(list("".join(texts[j] for j in rng.integers(len(texts), size=8)))))
         if i % 3 < 2 and rng.random() < 0.5:
             gaps = rng.integers(rng.integers(3, 9), size=len(t))
             t = [c if g else " " for c, g in zip(t, gaps, strict=True)]
@@ -248,12 +317,19 @@ def noise(texts: list[str], count: int, seed: int = 11) -> list[str]:
     return out
 
 
+def _share(p: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The share of each text in the languages, ``PRIOR`` more positions included."""
+    n = np.diff(offsets)
+    return (p[:, :-1].sum(1) * n + PRIOR) / (n + PRIOR)
+
+
 def foreign(net: Network, texts: pa.Array, p: np.ndarray) -> np.ndarray:
     """Whether texts with these probabilities are in none of the network's languages."""
-    out = p[:, :-1].sum(1) < net.least
+    out = _share(p, text_bytes(texts)[1]) < net.least
     if out.any():
         words = pc.replace_substring_regex(texts.filter(pa.array(out)), _CODES, " ")
-        again = document_probabilities(net, *text_bytes(words))[:, :-1].sum(1) < net.least
+        raw, offsets = text_bytes(words)
+        again = _share(document_probabilities(net, raw, offsets), offsets) < net.least
         has = pc.match_substring_regex(words, r"\p{L}").to_numpy(zero_copy_only=False)
         out[out] = again | ~has
     return out
@@ -261,11 +337,12 @@ def foreign(net: Network, texts: pa.Array, p: np.ndarray) -> np.ndarray:
 
 def document_probabilities(net: Network, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """n x K: the mean over all positions of each text; zeros for a text without bytes."""
-    windows, sizes, owner = cut_windows(raw, offsets)
+    begin, sizes, owner, _ = window_places(offsets)
     total = np.zeros((len(offsets) - 1, len(net.labels)))
-    for start in range(0, len(windows), _BATCH):
+    for start in range(0, len(begin), _BATCH):
         part = slice(start, start + _BATCH)
-        p = position_probabilities(net, windows[part], sizes[part])
+        windows = take_windows(raw, begin[part], sizes[part])
+        p = position_probabilities(net, windows, sizes[part])
         p *= (np.arange(windows.shape[1]) < sizes[part][:, None])[:, :, None]
         np.add.at(total, owner[part], p.sum(1))
     return total / np.maximum(np.diff(offsets), 1)[:, None]

@@ -149,6 +149,55 @@ def test_gradients_agree_with_differences():
             assert (up - down) / 1e-2 == pytest.approx(slope[at], rel=0.02, abs=2e-4)
 
 
+def test_probabilities_equal_a_plain_forward_pass():
+    """The network by its definition, one byte after the other."""
+    rng = np.random.default_rng(2)
+    net = langid.new_network(["a", "b", "c"], units=3, embedding=4)
+    net.bias = [rng.normal(size=9) for _ in range(2)]
+    net.out_bias = rng.normal(size=3)
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(data, d):
+        h, out = np.zeros(3), []
+        for byte in data:
+            x = net.embedding[byte] @ net.inner[d] + net.bias[d]
+            z, r = sigmoid(x[:3] + h @ net.recurrent[d][:, :3]), sigmoid(x[3:6] + h @ net.recurrent[d][:, 3:6])
+            h = z * h + (1 - z) * np.tanh(x[6:] + (r * h) @ net.recurrent[d][:, 6:])
+            out.append(h)
+        return out
+
+    texts = ["Hello", "ünï\0", "", "x" * 64, "some longer text, " * 9]
+    got = langid.document_probabilities(net, *text_bytes(pa.array(texts)))
+    for text, p in zip(texts, got):
+        data, total = text.encode(), np.zeros(3)
+        for at in range(0, len(data), langid.WINDOW):
+            part = data[at : at + langid.WINDOW]
+            for ahead, back in zip(states(part, 0), states(part[::-1], 1)[::-1]):
+                e = np.exp(ahead @ net.out[:3] + back @ net.out[3:] + net.out_bias)
+                total += e / e.sum()
+        assert p == pytest.approx(total / max(len(data), 1), abs=1e-5)
+
+
+def test_the_sample_is_bounded_and_covers_whole_texts(spark):
+    """Rows that repeat very often leave room for the others; windows lie anywhere in a long text."""
+    long = "".join(f"{i:07d}x" for i in range(4000))
+    rows = [(1, "the same text", "en")] * 3000 + [(i, f"text number {i}", "en") for i in range(2, 600)] + [(i, long + str(i), "fr") for i in range(600, 603)] + [(None, "no id", "de"), (7, None, "en"), (8, "123", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7)
+    sample = langid.sample_rows(docs, rows=100)
+    got = [tuple(r) for r in sample.select("lang", "text").collect()]
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    assert len(set(got)) == len(got)
+    assert sum(lang == "en" for lang, _ in got) == 100
+    assert sum(lang == "fr" for lang, _ in got) == sum(not fold(i) for i in range(600, 603))
+    labels, windows, sizes, which = langid.sample_windows(sample, most=50)
+    assert labels == sorted({lang for lang, _ in got}) and max(np.bincount(which)) == 50
+    fr = [w.tobytes()[:n] for w, n, k in zip(windows, sizes, which) if labels[k] == "fr"]
+    places = [int(re.search(rb"\d{7}", w)[0]) for w in fr]
+    assert min(places) < 1000 and max(places) > 3000
+    again = langid.sample_windows(langid.sample_rows(docs.repartition(2), rows=100), most=50)
+    assert (again[1] == windows).all()
+
+
 def test_windows_hold_every_byte_once():
     texts = ["", "a" * 64, "b" * 65, "cd", "é" * 200]
     raw, offsets = text_bytes(pa.array(texts))
