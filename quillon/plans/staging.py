@@ -9,10 +9,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
+
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and all runs on one machine
+    (tests, local runs) the warehouse folder serves.
+    """
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir") + "/_staging"
+
+
 def root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's checkpoint folder, else the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_staging"
-    return f"{base.rstrip('/')}/quillon-graph-{spark.sparkContext.applicationId}"
+    return f"{shared_dir(spark).rstrip('/')}/quillon-graph-{spark.sparkContext.applicationId}"
 
 
 _swept: set[str] = set()
