@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.staging import sweep_at_exit
+from ..plans.staging import shared_dir, sweep_at_exit
 
 TOKENIZER_DIR_FILES = {
     "byte": "byte_bpe_multi_50k.tiktoken",
@@ -25,15 +25,6 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, local runs)
-    the warehouse folder serves.
-    """
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_staging"
-
-
 def _staging_root(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/quillon-{spark.sparkContext.applicationId}"
 

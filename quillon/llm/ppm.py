@@ -21,7 +21,8 @@ Beside it stands a smoothed word model. Its vocabulary grows with the corpus, so
 than one in ``SPREAD`` of all tokens (fewer than ``SPREAD`` words, each of at most ``WORD_BYTES``
 bytes) are broadcast; the others are looked up by a join on the word.
 
-Defined cases: null text is the empty text (only the end token and end symbol); a null id counts as
+Defined cases: null text is the empty text (only the end token and end symbol); U+0000 is a symbol of its own,
+no end; a very long text is scored whole; a null id counts as
 the empty text when rows are split into folds; rows that repeat an id are scored each; an empty table
 gives an empty table, and without training rows every word has count 0; other columns are ignored.
 """
@@ -53,7 +54,9 @@ def held_out(id_col: Column) -> Column:
 
 
 def _with_ends(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each text followed by the end symbol, end to end, and the new offsets."""
+    """Each text followed by the end symbol, end to end, and the new offsets; U+0000 in a text is byte 255."""
+    if len(raw) and not raw.all():
+        raw = np.where(raw == _END, np.uint8(255), raw)  # UTF-8 has no such byte
     return np.insert(raw, offsets[1:], _END), offsets + np.arange(len(offsets))
 
 
