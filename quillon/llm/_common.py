@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -128,6 +130,14 @@ def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20, column:
             end = min(max(end, start + 1), batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
+    _give_back()
+
+
+def _give_back() -> None:
+    """Hands memory that is free again to the system: a worker outlives its tasks, and other stages need the room."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def int64(values) -> pa.Array:

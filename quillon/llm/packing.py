@@ -320,7 +320,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         end = np.array([end_id], "<u4").tobytes()
 
         def examples():
-            for part in slices(batches, 8 << 20):
+            for part in slices(batches, 4 << 20):
                 flat, sizes = encode(part.column("text"))
                 for row, size, stop in zip(part.column("doc_id"), sizes.tolist(), np.cumsum(sizes).tolist(), strict=True):
                     yield row.as_py(), flat[stop - size : stop].tobytes() + end, None
