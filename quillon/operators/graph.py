@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import ir
-from ..plans.staging import staged
+from ..plans.staging import kept, staged
 
 #: Hops that are unrolled into one plan.
 UNROLL = 3
@@ -30,25 +30,29 @@ def walk(edges: DataFrame, starts: DataFrame, high: int, by: tuple[str, ...] = (
     if high == 1:
         found = starts.join(hops, starts["key"] == hops["src"]).select(*by, F.col("dst").alias("key"), F.lit(1).alias("depth"))
         return found.distinct().join(starts.select(*ids), ids, "left_anti")
-    front = starts.select(*ids).distinct()
-    seen = front.withColumn("depth", F.lit(0))
-    depth = 0
+    parts = [starts.select(*ids).distinct().withColumn("depth", F.lit(0))]
+    front, depth = parts[0].drop("depth"), 0
     looped = high > UNROLL
     if looped:
-        hops, seen = staged(hops.distinct(), "hops"), staged(seen, "seen")
-        front = seen.drop("depth")
-    parts = [seen]
+        parts = [staged(parts[0], "seen")]
+        front = parts[0].drop("depth")
     while depth < high:
-        depth += 1
-        reached = front.join(hops, front["key"] == hops["src"]).select(*by, F.col("dst").alias("key")).distinct()
-        fresh = reached.join(reduce(DataFrame.unionByName, parts).select(*ids), ids, "left_anti").withColumn("depth", F.lit(depth))
-        if looped:
-            fresh = staged(fresh, "front")
-            if fresh.isEmpty():
-                break
-        parts.append(fresh)
-        front = fresh.drop("depth")
-        if looped and len(parts) > 8:
+        steps = []  # some hops in one plan
+        for _ in range(min(UNROLL, high - depth)):
+            depth += 1
+            reached = front.join(hops, front["key"] == hops["src"]).select(*by, F.col("dst").alias("key")).distinct()
+            fresh = reached.join(reduce(DataFrame.unionByName, parts + steps).select(*ids), ids, "left_anti").withColumn("depth", F.lit(depth))
+            steps.append(fresh)
+            front = fresh.drop("depth")
+        if not looped:
+            parts += steps
+            continue
+        found = staged(reduce(DataFrame.unionByName, steps), "front")
+        parts.append(found)
+        front = found.where(F.col("depth") == depth).drop("depth")
+        if front.isEmpty():
+            break
+        if len(parts) > 8:
             parts = [staged(reduce(DataFrame.unionByName, parts), "seen")]
     return reduce(DataFrame.unionByName, parts).where("depth > 0")
 
@@ -60,13 +64,21 @@ def _directed(corpus, kind: str, to_docs: bool) -> DataFrame:
     return edges.select("src", "dst") if forward else edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
+def _hops(corpus, relation: ir.Relation) -> DataFrame:
+    """Edges from anchors to documents; for walks of many hops written once for all queries over a corpus."""
+    edges = _directed(corpus, relation.kind, True)
+    if relation.high <= UNROLL:
+        return edges
+    return kept(corpus, f"hops-{relation.kind}", lambda: edges.distinct().repartition("src"))
+
+
 def related(corpus, relation: ir.Relation, anchors: DataFrame) -> DataFrame:
     """(key): documents that stand in the relation to at least one anchor, anchors excluded.
 
     Distances are shortest distances from each anchor, so a lower bound above 1 keeps anchors apart.
     Keys of missing documents are walked and returned.
     """
-    edges = _directed(corpus, relation.kind, True)
+    edges = _hops(corpus, relation)
     anchors = anchors.select("key")
     if relation.low == 1:  # one walk from all anchors, which leaves them out
         return walk(edges, anchors, relation.high).select("key")
@@ -74,16 +86,50 @@ def related(corpus, relation: ir.Relation, anchors: DataFrame) -> DataFrame:
     return found.select("key").distinct().join(anchors, "key", "left_anti")
 
 
-def related_counts(corpus, relation: ir.Relation, documents: DataFrame, matching: DataFrame) -> DataFrame:
-    """(key, n) of every document: how many other matching documents it is related to."""
+def neighbours(corpus, relation: ir.Relation, keys: list[str]) -> DataFrame:
+    """(key): what is one hop from given keys, the keys themselves excluded; a filter over the edges."""
+    edges = _directed(corpus, relation.kind, True)
+    return edges.where(F.col("src").isin(*keys) & ~F.col("dst").isin(*keys)).select(F.col("dst").alias("key")).distinct()
+
+
+def _related_pairs(corpus, relation: ir.Relation, documents: DataFrame, matching: DataFrame | None) -> DataFrame:
+    """(origin, key): each document with every other matching one that it is related to; one hop may repeat pairs.
+
+    One hop is read off the edges, of all documents; longer walks start at ``documents``. ``matching`` (key) may
+    be None for all documents.
+    """
     edges = _directed(corpus, relation.kind, False)
-    origins = documents.select("key").withColumn("origin", F.col("key"))
-    found = walk(edges, origins, relation.high, ("origin",)).where(F.col("depth") >= relation.low)
-    found = found.where("origin <> key").join(matching.select("key").distinct(), "key", "left_semi")
+    if relation.high == 1:
+        found = edges.where("src <> dst").select(F.col("src").alias("origin"), F.col("dst").alias("key"))
+    else:
+        origins = documents.select("key").withColumn("origin", F.col("key"))
+        found = walk(edges, origins, relation.high, ("origin",)).where(F.col("depth") >= relation.low).where("origin <> key").select("origin", "key")
+    if matching is None and relation.kind in ("includes", "references"):  # a link's source is a document, its target may be none
+        matching = corpus.documents
+    return found if matching is None else found.join(matching.select("key"), "key", "left_semi")
+
+
+def related_counts(corpus, relation: ir.Relation, documents: DataFrame, matching: DataFrame | None) -> DataFrame:
+    """(key, n) of every document: how many other matching documents it is related to."""
+    found = _related_pairs(corpus, relation, documents, matching).distinct()
     counts = found.groupBy(F.col("origin").alias("key")).agg(F.count(F.lit(1)).alias("n"))
     return documents.select("key").join(counts, "key", "left").select("key", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def with_count(corpus, relation: ir.Relation, documents: DataFrame, matching: DataFrame | None, test) -> DataFrame:
+    """The rows of ``documents`` whose count, as of ``related_counts``, passes ``test`` (column -> column).
+
+    Only documents with a relation are counted; those without one are told by a join.
+    """
+    found = _related_pairs(corpus, relation, documents, matching).withColumnRenamed("key", "other").withColumnRenamed("origin", "key")
+    if relation.size.comparisons == (("eq", 0),):
+        return documents.join(found.select("key"), "key", "left_anti")
+    counts = found.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    if relation.size.holds(0):
+        return documents.join(counts.where(~test(F.col("n"))).select("key"), "key", "left_anti")
+    return documents.join(counts.where(test(F.col("n"))).select("key"), "key", "left_semi")
+
+
 def roots(corpus) -> DataFrame:
     """(key): documents that nothing includes and that have a top-level section."""
     headed = corpus.blocks.where("kind = 'header' AND depth = 0").select("key").distinct()

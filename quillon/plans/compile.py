@@ -45,22 +45,32 @@ class _Selection:
         rest = [p for p in parts if p not in plain]
         missing = self.dangling and any(r.size is None for r in _relations(node))
         if plain and missing and plain[0].size is None:
-            # documents are reduced by a semi-join, which broadcasts a small key set; keys without a document
-            # are looked up in the key column alone
+            # documents are reduced by a semi-join, which broadcasts a small key set; the keys without a document
+            # are those that it didn't find, so the key column of the corpus need not move
             keys = self._keys(plain[0])
-            lost = keys.join(self.rows.select("key"), "key", "left_anti").withColumn("is_document", F.lit(False))
-            self.rows = self.rows.join(keys, "key", "left_semi").unionByName(lost, allowMissingColumns=True)
+            found = self.rows.join(keys, "key", "left_semi")
+            lost = keys.join(found.select("key"), "key", "left_anti").withColumn("is_document", F.lit(False))
+            self.rows = found.unionByName(lost, allowMissingColumns=True)
             plain = plain[1:]
         elif missing:
             self._add_missing()
+        sized = [r for r in plain if r.size is not None]
         for relation in plain:
-            self.rows = self.rows.join(self._keys(relation), "key", "left_semi")
+            if relation.size is None:
+                self.rows = self.rows.join(self._keys(relation), "key", "left_semi")
         if rest or not parts:
             alone = not any(isinstance(p, _NEEDS_ROWS) for p in parts)
             test = reduce(lambda a, b: a & b, [self._column(p, alone) for p in rest], F.lit(True))
             self.rows = self.rows.where(test)  # with the flag columns that the test has joined
+        for relation in sized:  # counted for what is left, where counting takes walks
+            self.rows = self._counted(relation, self.rows.where("is_document"))
         return self.rows
 
+    def _counted(self, relation: ir.Relation, documents: DataFrame) -> DataFrame:
+        every = isinstance(relation.match, ir.All) and not relation.match.parts
+        matching = None if every else matching_keys(self.corpus, relation.match, self.dangling)
+        return graph.with_count(self.corpus, relation, documents, matching, lambda n: fields.count_test(n, relation.size))
+
     def _add_missing(self) -> None:
         ends = [e.select(F.col(c).alias("key")) for e in (self.corpus.inclusion_edges, self.corpus.reference_edges) for c in ("src", "dst")]
         keys = reduce(DataFrame.unionByName, ends).distinct().join(self.corpus.documents.select("key"), "key", "left_anti")
@@ -68,17 +78,18 @@ class _Selection:
 
     def _keys(self, relation: ir.Relation) -> DataFrame:
         match = relation.match
-        if relation.size is None:
-            if isinstance(match, ir.KeyTest) and match.op in ("eq", "in") and relation.kind in ("includedBy", "referencedBy"):
-                # walks start at these keys; one without a document has no edge to start with
-                anchors = self.corpus.spark.range(1).select(F.explode(F.array(*map(F.lit, dict.fromkeys(match.keys)))).alias("key"))
-            else:
-                # a walk needs its anchors several times, and they may take a scan of the corpus to find
-                anchors = staged(matching_keys(self.corpus, match, self.dangling), "anchors")
-            return graph.related(self.corpus, relation, anchors)
-        anchors = matching_keys(self.corpus, match, self.dangling)
-        counts = graph.related_counts(self.corpus, relation, self.corpus.documents, anchors)
-        return counts.where(fields.count_test(F.col("n"), relation.size)).select("key")
+        if relation.size is not None:
+            return self._counted(relation, self.corpus.documents.select("key"))
+        if isinstance(match, ir.KeyTest) and match.op in ("eq", "in") and relation.kind in ("includedBy", "referencedBy"):
+            # walks start at these keys; one without a document has no edge to start with
+            keys = list(dict.fromkeys(match.keys))
+            if relation.high == 1:
+                return graph.neighbours(self.corpus, relation, keys)
+            anchors = self.corpus.spark.range(1).select(F.explode(F.array(*map(F.lit, keys))).alias("key"))
+        else:
+            # a walk needs its anchors several times, and they may take a scan of the corpus to find
+            anchors = staged(matching_keys(self.corpus, match, self.dangling), "anchors")
+        return graph.related(self.corpus, relation, anchors)
 
     def _column(self, node, alone: bool) -> Column:
         document = F.col("is_document")

@@ -29,6 +29,9 @@ class CountTest:
 
     comparisons: tuple[tuple[str, int], ...]
 
+    def holds(self, n: int) -> bool:
+        return all({"eq": n == m, "ne": n != m, "gt": n > m, "gte": n >= m, "lt": n < m, "lte": n <= m}[op] for op, m in self.comparisons)
+
 
 @dataclass(frozen=True)
 class Relation:

@@ -49,6 +49,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Counts the times that all tables of the application went.
+_cleared = 0
+
+
+def kept(owner, name: str, make) -> DataFrame:
+    """``make()`` written once for ``owner`` (an object with a ``spark``), as long as its table is there."""
+    memo = owner.__dict__.setdefault("_kept", {})
+    found = memo.get(name)
+    if found is None or found[0] != _cleared:
+        found = memo[name] = (_cleared, staged(make(), name))
+    return found[1]
+
+
 def clear(spark: SparkSession) -> None:
+    global _cleared
+    _cleared += 1
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -112,6 +112,9 @@ def test_relations(spark, seed):
         assert got == sorted(want)
         counted = {r["key"]: r["n"] for r in graph.related_counts(c, relation, c.documents, plans.matching_keys(c, relation.match)).collect()}
         own = edges if kind == "includes" else back
+        sized = ir.Relation(kind, relation.match, low, relation.high, ir.CountTest((rng.choice([("eq", 0), ("gte", 1), ("lt", 3), ("ne", 2)]),)))
+        some = sorted(r["key"] for r in plans.select(c, sized).collect())
+        assert some == sorted(n for n in names if sized.size.holds(counted[n]))
         assert counted == {n: sum(d >= low and k != n and group.get(k) == g for k, d in reach(own, n, high).items()) for n in names}
 
 
