@@ -83,9 +83,15 @@ def _scalar(v: Column, op: str, literal: Any) -> Column:
 
 
 def _deep_equal(v: Column, literal: Any) -> Column:
-    kind = "array" if isinstance(literal, (list, tuple)) else "object"
-    text = to_json(list(literal) if kind == "array" else literal)
-    return _is(v, kind) & _false(F.to_json(v) == F.to_json(F.parse_json(F.lit(text))))
+    """Whole values by their parts, so numbers compare as numbers; the order of an object's keys doesn't count."""
+    if isinstance(literal, (list, tuple)):
+        parts = [_element_equal(F.get(_elements(v), F.lit(i)), x) for i, x in enumerate(literal)]
+        size, kind = F.size(_elements(v)), "array"
+    else:
+        fields = F.try_variant_get(v, "$", "map<string,variant>")
+        parts = [_element_equal(F.try_element_at(fields, F.lit(k)), x) for k, x in literal.items()]
+        size, kind = F.size(fields), "object"
+    return _is(v, kind) & _false(reduce(lambda a, b: a & b, map(_false, parts), size == len(literal)))
 
 
 def _elements(v: Column) -> Column:

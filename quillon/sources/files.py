@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import yamlcore
@@ -75,34 +75,63 @@ def ignore_regex(pattern: str) -> str:
     return f"^{'' if anchored else '(?:.*/)?'}{inner}{'/.*' if only_dirs else '(?:/.*)?'}$"
 
 
-def read_directory(spark: SparkSession, path: str, extension: str = "md", ignore: list[str] | None = None) -> DataFrame:
-    """(key, content) of a folder's documents; hidden paths are skipped.
-
-    ``ignore`` lines default to the folder's own ignore files; the last line that matches a path decides.
-    """
-    files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{extension}").load(path).select("value", F.col("_metadata.file_path").alias("file"))
+def relative(file: Column, path: str) -> Column:
+    """Paths in a folder, out of the URLs that Spark's readers give."""
     root = re.sub(r"^file:/*", "/", path).rstrip("/")
-    rel = F.regexp_replace(F.url_decode(F.regexp_replace(F.col("file"), "\\+", "%2B")), f"^(?:file:/*)?{re.escape(root)}/", "")
-    rows = files.select(rel.alias("rel"), F.col("value"))
-    rows = rows.where(~F.col("rel").rlike(r"(^|/)\."))
-    if ignore is None:
-        ignore = []
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for name in (".gitignore", ".ignore"):  # Spark's own readers leave out hidden files
-            at = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-            fs = at.getFileSystem(conf)
-            if fs.exists(at):
-                stream = fs.open(at)
-                ignore += jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n")
+    return F.regexp_replace(F.url_decode(F.regexp_replace(file, "\\+", "%2B")), f"^(?:file:/*)?{re.escape(root)}/", "")
+
+
+def ignore_rules(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(folder, line) of the ignore files in a folder and below, in the order of precedence; hidden folders are skipped."""
+    jvm, rules, folders = spark.sparkContext._jvm, [], [""]
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    while folders:  # by levels, since a deeper file overrides
+        below = []
+        for folder in sorted(folders):
+            at = jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}") if folder else root
+            there, entries = set(), fs.listStatusIterator(at)
+            while entries.hasNext():
+                entry = entries.next()
+                name = entry.getPath().getName()
+                if entry.isDirectory() and not name.startswith("."):
+                    below.append(f"{folder}{name}/")
+                elif name in (".gitignore", ".ignore"):
+                    there.add(name)
+            for name in sorted(there):  # .gitignore, then .ignore
+                stream = fs.open(jvm.org.apache.hadoop.fs.Path(at, name))
+                rules += [(folder, line) for line in jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n")]
                 stream.close()
+        folders = below
+    return rules
+
+
+def ignored(rel: Column, rules: list[tuple[str, str]]) -> Column:
+    """Whether a path is hidden or left out; the last rule that matches a path decides."""
     out = F.lit(False)
-    for line in ignore:
+    for folder, line in rules:
         line = line.strip()
         if line and not line.startswith("#"):
-            out = F.when(F.col("rel").rlike(ignore_regex(line.removeprefix("!"))), not line.startswith("!")).otherwise(out)
+            pattern = ignore_regex(line.removeprefix("!")).removeprefix("^")
+            out = F.when(rel.rlike(f"^{re.escape(folder)}{pattern}"), not line.startswith("!")).otherwise(out)
+    return rel.rlike(r"(^|/)\.") | out
+
+
+def sanitised(value: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(value, "^﻿", ""), "\r\n?", "\n")
+
+
+def read_directory(spark: SparkSession, path: str, extension: str = "md", ignore: list[str] | None = None) -> DataFrame:
+    """(key, content) of a folder's documents; hidden paths are skipped.
+
+    ``ignore`` lines default to the ignore files of the folder and of those below; the last line that matches a path
+    decides, and deeper files come later.
+    """
+    files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{extension}").load(path)
+    rows = files.select(relative(F.col("_metadata.file_path"), path).alias("rel"), "value")
+    rules = ignore_rules(spark, path) if ignore is None else [("", line) for line in ignore]
     key = F.regexp_replace("rel", rf"\.{extension}$", "")
-    content = F.regexp_replace(F.regexp_replace("value", "^﻿", ""), "\r\n?", "\n")
-    return rows.where(~out).select(key.alias("key"), content.alias("content"))
+    return rows.where(~ignored(F.col("rel"), rules)).select(key.alias("key"), sanitised(F.col("value")).alias("content"))
 
 
 def from_directory(spark: SparkSession, path: str, **options) -> Corpus:
@@ -120,16 +149,23 @@ def keys_of(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame([(k.strip(),) for k in text.split("\n") if k.strip()], "key string")
 
 
-def write_directory(documents: DataFrame, path: str, extension: str = "md") -> None:
-    """One file for each (key, content), written by the executors through Hadoop's file systems.
+def _mounted(path: str) -> str:
+    """The path without its scheme; other stores than mounted file systems are refused."""
+    scheme = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):", path)
+    if scheme and scheme[1] != "file":
+        raise ValueError(f"documents are written to mounted file systems only, not to {scheme[1]}; write them as a table there")
+    return re.sub(r"^file:/*", "/", path)
 
-    On a cluster the path must be in a store that all executors reach.
-    """
+
+def write_directory(documents: DataFrame, path: str, extension: str = "md") -> None:
+    """One file for each (key, content), written by the executors to a file system that all of them have mounted."""
     from pathlib import Path
 
+    root = _mounted(path)
+
     def write(rows):
         for r in rows:
-            file = Path(re.sub(r"^file:/*", "/", path), f"{r['key']}.{extension}")
+            file = Path(root, f"{r['key']}.{extension}")
             file.parent.mkdir(parents=True, exist_ok=True)
             file.write_text(r["content"] or "")
 
@@ -140,7 +176,7 @@ def apply_to_directory(changes: DataFrame, path: str, extension: str = "md") ->
     """Removes first (with folders that become empty), then creates and updates."""
     from pathlib import Path
 
-    root = Path(re.sub(r"^file:/*", "/", path))
+    root = Path(_mounted(path))
     changes = staged(changes, "changes")  # they may come from the files that are about to change
 
     def remove(rows):

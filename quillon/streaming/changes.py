@@ -7,14 +7,15 @@ again. Events that change nothing are dropped.
 
 from __future__ import annotations
 
-import re
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.files import from_markdown
+from ..plans.staging import staged
+from ..sources.files import from_markdown, ignore_rules, ignored, read_directory, relative, sanitised
 
 EVENTS = "key string, content string, removed boolean, at timestamp"
 
@@ -35,55 +36,122 @@ def changes(documents: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def file_events(spark: SparkSession, path: str, extension: str = "md") -> DataFrame:
-    """A stream of upserts: new and rewritten files of a folder, keyed by their paths in it. Files that vanish raise no event of their own."""
+    """A stream of upserts: new and rewritten files of a folder, keyed by their paths in it.
+
+    Hidden files, and those that the folder's ignore files name as the stream starts, are left out. Files that vanish
+    raise no event here; ``vanished`` finds them.
+    """
     files = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{extension}").schema("value string").load(path)
-    root = re.sub(r"^file:/*", "/", path).rstrip("/")
-    rel = F.regexp_replace(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), "\\+", "%2B")), f"^(?:file:/*)?{re.escape(root)}/", "")
-    return files.select(F.regexp_replace(rel, rf"\.{extension}$", "").alias("key"), F.col("value").alias("content"), F.lit(False).alias("removed"), F.col("_metadata.file_modification_time").alias("at"))
+    rows = files.select(relative(F.col("_metadata.file_path"), path).alias("rel"), "value", F.col("_metadata.file_modification_time").alias("at"))
+    rows = rows.where(~ignored(F.col("rel"), ignore_rules(spark, path)))
+    return rows.select(F.regexp_replace("rel", rf"\.{extension}$", "").alias("key"), sanitised(F.col("value")).alias("content"), F.lit(False).alias("removed"), "at")
+
+
+def vanished(documents: DataFrame, path: str, extension: str = "md") -> DataFrame:
+    """Removals: documents of a table that a folder no longer has."""
+    there = read_directory(documents.sparkSession, path, extension).select("key")
+    return documents.select("key").join(there, "key", "left_anti").select("key", F.lit(None).cast("string").alias("content"), F.lit(True).alias("removed"), F.current_timestamp().alias("at"))
 
 
 class DocumentTable:
-    """A versioned table of (key, content) in the shared store, one folder a committed batch."""
+    """A versioned table of (key, content) in the shared store, in buckets by a hash of the key.
+
+    A version writes only the buckets that change. Its manifest, which appears at once and last, names the
+    version that holds each bucket.
+    """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
         jvm = spark.sparkContext._jvm
-        self._fs = jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._at = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if found := self.versions():  # a table keeps its number of buckets
+            self.buckets = self._manifest(found[-1])["buckets"]
+
+    def bucket(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def _names(self, path: str) -> list[str]:
+        return [s.getPath().getName() for s in self._fs.listStatus(self._at(path))] if self._fs.exists(self._at(path)) else []
+
+    def _manifest(self, version: int) -> dict:
+        stream = self._fs.open(self._at(f"{self.path}/m={version}"))
+        text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return json.loads(text)
 
     def versions(self) -> list[int]:
-        if not self._fs.exists(self._at(self.path)):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._at(self.path))]
-        return sorted(int(n[2:]) for n in names if n.startswith("v=") and self._fs.exists(self._at(f"{self.path}/{n}/_SUCCESS")))
+        return sorted(int(n[2:]) for n in self._names(self.path) if n.startswith("m="))
 
-    def read(self, version: int | None = None) -> DataFrame:
+    def read(self, version: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """The table, or some of its buckets."""
         found = self.versions()
-        if not found:
+        holds = self._manifest(found[-1] if version is None else version)["holds"] if found else {}
+        paths = [f"{self.path}/v={v}/bucket={b}" for b, v in holds.items() if buckets is None or int(b) in buckets]
+        if not paths:
             return self.spark.createDataFrame([], "key string, content string")
-        return self.spark.read.schema("key string, content string").parquet(f"{self.path}/v={found[-1] if version is None else version}")
+        return self.spark.read.schema("key string, content string").parquet(*paths)
 
-    def commit(self, version: int, rows: DataFrame) -> None:
-        rows.select("key", "content").write.mode("overwrite").parquet(f"{self.path}/v={version}")
+    def last_batch(self) -> int:
+        """The last batch of a stream that the table has; -1 for none."""
+        found = self.versions()
+        return self._manifest(found[-1])["batch"] if found else -1
+
+    def commit(self, rows: DataFrame, buckets: list[int] | None = None, batch: int | None = None) -> None:
+        """A new version: these are all rows, or all rows of the given buckets. One writer at a time."""
+        found = self.versions()
+        version, batch = (found[-1] + 1 if found else 0), self.last_batch() if batch is None else batch
+        holds = self._manifest(found[-1])["holds"] if found and buckets is not None else {}
+        changed = range(self.buckets) if buckets is None else buckets
+        if len(changed):
+            placed = rows.select("key", "content", self.bucket(F.col("key")).alias("bucket"))
+            placed.repartition("bucket", F.pmod(F.hash("key"), F.lit(4))).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v={version}")
+        there = {n.removeprefix("bucket=") for n in self._names(f"{self.path}/v={version}") if n.startswith("bucket=")}
+        holds = {b: v for b, v in holds.items() if int(b) not in changed} | dict.fromkeys(there, version)
+        draft = self._at(f"{self.path}/_m={version}")
+        stream = self._fs.create(draft, True)
+        stream.write(json.dumps({"buckets": self.buckets, "batch": batch, "holds": holds}).encode())
+        stream.close()
+        self._fs.rename(draft, self._at(f"{self.path}/m={version}"))
 
     def prune(self, keep: int = 2) -> None:
-        for v in self.versions()[:-keep]:
-            self._fs.delete(self._at(f"{self.path}/v={v}"), True)
+        """Deletes what the latest versions don't hold."""
+        found = self.versions()
+        if not found:
+            return
+        held = {f"v={v}/bucket={b}" for m in found[-keep:] for b, v in self._manifest(m)["holds"].items()}
+        for v in found[:-keep]:
+            self._fs.delete(self._at(f"{self.path}/m={v}"), False)
+        for v in [n for n in self._names(self.path) if n.startswith("v=") and int(n[2:]) <= found[-1]]:
+            parts = [n for n in self._names(f"{self.path}/{v}") if n.startswith("bucket=")]
+            gone = [n for n in parts if f"{v}/{n}" not in held]
+            for n in [f"{v}/{n}" for n in gone] if len(gone) < len(parts) else [v]:
+                self._fs.delete(self._at(f"{self.path}/{n}"), True)
 
 
 def apply_batch(table: DocumentTable, events: DataFrame, batch: int, then: Callable[[DataFrame, int], None] | None = None) -> None:
-    """Applies one micro-batch; nothing happens for a batch that is already committed."""
+    """Applies one micro-batch; nothing happens for a batch that is already committed. Only buckets with events are read and written."""
+    if table.last_batch() < batch:
+        delta = _apply(table, events, batch)
+        if then:
+            then(delta, batch)
+
+
+def _apply(table: DocumentTable, events: DataFrame, batch: int | None) -> DataFrame:
     from ..operators.edits import apply
 
-    done = table.versions()
-    if done and done[-1] >= batch:
-        return
-    documents = table.read()
-    delta = changes(documents, events.select("key", "content", "removed", "at"))
-    table.commit(batch, apply(documents, delta))
+    events = staged(events.select("key", "content", "removed", "at"), "events")
+    touched = sorted(r["b"] for r in events.select(table.bucket(F.col("key")).alias("b")).distinct().collect())  # bounded by the buckets
+    documents = table.read(buckets=touched)
+    delta = staged(changes(documents, events), "delta")
+    table.commit(apply(documents, delta), touched, batch)
     table.prune()
-    if then:
-        then(delta, batch)
+    return delta
+
+
+def sweep(table: DocumentTable, path: str, extension: str = "md") -> DataFrame:
+    """Takes documents whose files have vanished out of the table, between two batches; gives the changes."""
+    return _apply(table, vanished(table.read(), path, extension), None)
 
 
 def maintain(events: DataFrame, table: DocumentTable, checkpoint: str, then: Callable[[DataFrame, int], None] | None = None, **trigger) -> StreamingQuery:

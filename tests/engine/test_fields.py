@@ -51,6 +51,13 @@ TABLE = [
     ("author.name: alice", "author: {name: alice}", True),
     ("author.name: alice", "author: alice", False),
     ("author: {$eq: {name: a, n: 1}}", "author: {n: 1, name: a}", True),
+    ("x: [1, 2]", "x: [1e0, 2.0]", True),
+    ("x: [1, 2]", "x: [1, 2, 3]", False),
+    ("x: [[1], {a: null}]", "x: [[1.0], {a: null}]", True),
+    ("x: {$eq: {a: 1}}", "x: {a: 1, b: 2}", False),
+    ("x: {$eq: {a: [2, x]}}", "x: {a: [2.0, x]}", True),
+    ("x: {$eq: {a: null}}", "x: {b: null}", False),
+    ("x: []", "x: []", True),
     ("_h: 1", "_h: 1", False),
     ("a: {$not: {$gt: 1, $lt: 5}}", "a: 3", False),
     ("a: {$not: {$gt: 1, $lt: 5}}", "{}", True),

@@ -109,3 +109,38 @@ def test_file_events_keep_equal_names_apart(spark, tmp_path):
     table = changes.DocumentTable(spark, str(tmp_path / "table"))
     changes.maintain(changes.file_events(spark, str(tmp_path / "notes")), table, str(tmp_path / "checkpoint")).awaitTermination(60)
     assert {r["key"]: r["content"] for r in table.read().collect()} == {"a/x": "a/x.md", "b/x": "b/x.md", "top y": "top y.md"}
+    hidden = tmp_path / "notes" / "b" / ".gitignore"
+    hidden.write_text("z*\n!z1.md\n")
+    for name in ("b/z0.md", "b/z1.md", "a/z0.md", ".h/w.md"):
+        (tmp_path / "notes" / name).parent.mkdir(exist_ok=True)
+        (tmp_path / "notes" / name).write_text(name)
+    (tmp_path / "notes" / "a" / "x.md").unlink()
+    gone = changes.sweep(table, str(tmp_path / "notes"))
+    assert [(r["op"], r["key"]) for r in gone.collect()] == [("remove", "a/x")]
+    changes.maintain(changes.file_events(spark, str(tmp_path / "notes")), table, str(tmp_path / "checkpoint")).awaitTermination(60)
+    assert sorted(r["key"] for r in table.read().collect()) == ["a/z0", "b/x", "b/z1", "top y"]
+    assert files.read_directory(spark, str(tmp_path / "notes")).count() == 4
+
+
+def test_table_writes_only_what_changes(spark, tmp_path):
+    from quillon.streaming import changes
+
+    event = lambda *rows: spark.createDataFrame([(k, c, c is None, None) for k, c in rows], changes.EVENTS)
+    table = changes.DocumentTable(spark, str(tmp_path / "table"), buckets=8)
+    changes.apply_batch(table, event(*((f"k{i}", "old") for i in range(50))), 0)
+    changes.apply_batch(table, event(("k7", "new"), ("k7", "newer")), 1)
+    wrote = [p.name for p in (tmp_path / "table" / "v=1").iterdir() if p.name.startswith("bucket=")]
+    assert len(wrote) == 1
+    again = changes.DocumentTable(spark, str(tmp_path / "table"))
+    assert again.buckets == 8 and again.read().count() == 50 and again.last_batch() == 1
+    assert [r["content"] for r in again.read().where("key = 'k7'").collect()] == ["newer"]
+    assert again.read(0).where("content = 'old'").count() == 50
+    changes.apply_batch(again, event(*((f"k{i}", None) for i in range(50))), 2)
+    assert again.read().count() == 0 and again.versions() == [1, 2]
+    assert not (tmp_path / "table" / "v=0").exists() or any((tmp_path / "table" / "v=0").iterdir())
+
+
+def test_other_stores_are_refused(spark):
+    rows = spark.createDataFrame([("a", "x")], "key string, content string")
+    with pytest.raises(ValueError):
+        files.write_directory(rows, "hdfs://host/notes")
