@@ -547,3 +547,173 @@ def squash_thread(spark, sf_dir):
 
     turns = threads(spark, sf_dir).documents.select("key", "content")
     return edits.normalize(from_markdown(turns))
+
+
+# written documents
+
+
+def sheets(spark: SparkSession, sf_dir: str) -> sources.Corpus:
+    """part as Markdown, read by the parser; blocks and metadata depend on the size."""
+    from .sources.files import from_markdown
+
+    size = F.col("p_size")
+    said = lambda test, *text: F.when(test, F.concat(*[F.lit(t) if isinstance(t, str) else t.cast("string") for t in text])).otherwise("")
+    content = F.concat(
+        said(size % 6 != 0, "---\nbrand: ", F.col("p_brand"), "\nsize: ", size, "\n---\n\n"),
+        said(F.lit(True), "# ", F.col("p_name"), "\n\n", F.col("p_type"), " text\n"),
+        said(size % 2 == 1, "\n- item ", F.col("p_brand"), "\n- other\n"),
+        said(size % 3 == 0, "\n```sql\nselect ", size, "\n```\n"),
+        said(size % 4 == 0, "\n| a | b |\n| - | - |\n| ", F.col("p_brand"), " | x |\n"),
+        said(size % 5 == 0, "\n---\n"),
+        said(size % 7 == 0, "\n[link](s", size, ")\n"),
+        said(size % 2 == 0, "\n> quoted ", F.col("p_type"), "\n"),
+    )
+    return from_markdown(table(spark, sf_dir, "part").select(F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("key"), content.alias("content")))
+
+
+_SHEETS = "WITH p AS (SELECT 's' || p_partkey AS key, p_partkey AS id, p_name AS name, p_brand AS brand, p_type AS type, p_size AS size FROM part)"
+_BLOCKS = {
+    "block_item": ("$item: {$text: 'brand#1'}", "size % 2 = 1 AND contains(lower(brand), 'brand#1')"),
+    "block_code": ("$code: {$text: 'select 1'}", "size % 3 = 0 AND contains('select ' || size, 'select 1')"),
+    "block_table": ("$table: {$text: 'brand#2'}", "size % 4 = 0 AND contains(lower(brand), 'brand#2')"),
+    "block_hr": ("$hr: {}", "size % 5 = 0"),
+    "block_ref": ("$ref: {}", "size % 7 = 0"),
+    "block_list": ("$list: {}", "size % 2 = 1"),
+    "block_quote": ("$within: {$quote: {}}, $text: small", "size % 2 = 0 AND contains(lower(type), 'small')"),
+    "block_text_equal": ("$paragraph: {$text: {$eq: 'Small text'}}", "lower(type) = 'small'"),
+    "block_references": ("$references: s7", "size = 7"),
+    "block_or": ("$or: [{$hr: {}}, {$table: {}}]", "size % 5 = 0 OR size % 4 = 0"),
+    "block_and": ("$and: [{$item: {}}, {$text: 'brand#3'}]", "size % 2 = 1 AND contains(lower(brand), 'brand#3')"),
+    "block_nor": ("$header: {}, $nor: [{$text: red}, {$text: hot}]", "NOT contains(lower(name), 'red') AND NOT contains(lower(name), 'hot')"),
+    "block_in_list": ("$item: {$text: other}, $within: {$section: {$text: gear}}", "size % 2 = 1 AND contains(lower(name), 'gear')"),
+}
+
+
+def _block_query(predicate: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return plans.select(sheets(spark, sf_dir), parse.parse_filter_expression(f"$content: {{{predicate}}}")).select("key")
+
+    return run
+
+
+for _name, (_predicate, _sql) in _BLOCKS.items():
+    register(f"{_SHEETS} SELECT key FROM p WHERE {_sql}", _name)(_block_query(_predicate))
+
+
+@register(_SHEETS + " SELECT key, size % 7 = 0 AS links, brand AS brand FROM p WHERE size % 6 <> 0 AND size > 30")
+def sheets_find(spark, sf_dir):
+    """Metadata and edges that the parser has read."""
+    found = plans.find(sheets(spark, sf_dir), "{filter: {size: {$gt: 30}}, project: {key: $key, brand: 1, to: $references, inside: $includes}}")
+    return found.select("key", (F.size("to") + F.size("inside") > 0).alias("links"), text_of(F.col("brand")).alias("brand"))
+
+
+@register(_SHEETS + " SELECT key, 'frontmatter' AS part FROM p WHERE size % 6 = 0 UNION ALL SELECT key, 'size' FROM p WHERE size % 6 <> 0 AND size > 25")
+def schema_violations(spark, sf_dir):
+    """Documents without metadata, and with a size over the bound."""
+    rules = {"sheet": {"frontmatter": {"required": ["brand"], "properties": {"size": {"maximum": 25}}}}}
+    found = schema.validate(sheets(spark, sf_dir), rules, {"sheet": ["s*"]})
+    return found.select("key", F.when(F.col("keyword") == "maximum", "size").otherwise("frontmatter").alias("part"))
+
+
+@register(
+    _SHEETS
+    + """ SELECT 'update' AS op, key, '---' || chr(10) || 'brand: ' || brand || chr(10) || 'checked: true' || chr(10) || '---' || chr(10) || chr(10) || '# ' || name AS head
+    FROM p WHERE size % 6 <> 0 AND size > 40"""
+)
+def set_and_unset(spark, sf_dir):
+    """Metadata edits; the document up to its title."""
+    from .operators import edits
+
+    found = edits.update(sheets(spark, sf_dir), "{filter: {size: {$gt: 40}}, update: {$set: {checked: true}, $unset: {size: ''}}}")
+    return found.select("op", "key", F.regexp_extract("content", "(?s)^(.*?# [^\n]*)", 1).alias("head"))
+
+
+@register(_SHEETS + " SELECT 'remove' AS op, key FROM p WHERE size = 7 UNION ALL SELECT 'update', p.key FROM p JOIN p q ON q.id = p.size AND q.size = 7 WHERE p.size % 7 = 0 AND p.size <> 7")
+def delete_sheets(spark, sf_dir):
+    """Documents that go, and those that linked to them."""
+    from .operators import edits
+
+    return edits.delete(sheets(spark, sf_dir), "filter: {size: 7}").select("op", "key")
+
+
+@register(
+    """WITH n AS (SELECT n_regionkey AS r, string_agg('nation ' || n_name, chr(10) || chr(10) ORDER BY n_nationkey) AS said FROM nation GROUP BY n_regionkey)
+    SELECT 'r' || r_regionkey AS key, 'of ' || r_name || chr(10) || chr(10) || said || chr(10) AS text FROM region JOIN n ON r = r_regionkey"""
+)
+def squash_regions(spark, sf_dir):
+    """Regions with the nations that they include in place of the links."""
+    from .operators import edits
+    from .sources.files import from_markdown
+
+    nations = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("key"), F.concat(F.lit("nation "), F.col("n_name"), F.lit("\n")).alias("content"), "n_regionkey", "n_nationkey")
+    links = nations.groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "key"))).alias("ns"))
+    inside = F.array_join(F.transform("ns", lambda n: F.concat(F.lit("["), n["key"], F.lit("]("), n["key"], F.lit(")"))), "\n\n")
+    regions = table(spark, sf_dir, "region").join(links, F.col("r_regionkey") == F.col("n_regionkey"))
+    regions = regions.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("key"), F.concat(F.lit("of "), F.col("r_name"), F.lit("\n\n"), inside, F.lit("\n")).alias("content"))
+    corpus = from_markdown(nations.select("key", "content").unionByName(regions))
+    keys = [r["key"] for r in regions.select("key").orderBy("key").collect()]  # a region a row
+    return spark.createDataFrame([(k, edits.squash(corpus, k, 1)) for k in keys], "key string, text string")
+
+
+# clauses on rows that have what they ask for, and rows that don't
+
+
+@register(THREADS + ", lines AS (SELECT key, unnest(string_split(own, chr(10))) AS text FROM b) SELECT key, text FROM lines WHERE regexp_matches(text, '^In |tion on')")
+def grep_turns(spark, sf_dir):
+    found = plans.find(threads(spark, sf_dir), "{project: {key: $key, found: {$matches: '^In |tion on'}}}")
+    return found.select("key", F.explode("found").alias("f")).select("key", F.col("f.text").alias("text"))
+
+
+@register(f"{GEO}, {_DOWN} SELECT key FROM docs WHERE kind = 'nation' AND key NOT IN (SELECT dst FROM inc WHERE src = 'region/1')")
+def relation_nor_some(spark, sf_dir):
+    return plans.select(geo(spark, sf_dir), parse.parse_filter_expression("{kind: nation, $nor: [{$includedBy: region/1}]}")).select("key")
+
+
+@register(f"{GEO}, {_DOWN} SELECT key FROM docs WHERE kind IN ('nation', 'supplier') AND key NOT IN (SELECT src FROM inc)")
+def leaves_some(spark, sf_dir):
+    return plans.select(geo(spark, sf_dir), parse.parse_filter_expression("{kind: {$in: [nation, supplier]}, $includes: {$size: 0}}")).select("key")
+
+
+def _talks(spark: SparkSession, sf_dir: str) -> sources.Corpus:
+    """conversations with their roles in order, and a field that filters must not see."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("t"))
+    roles = F.col("t.role")
+    fm = F.to_json(F.struct(roles.alias("roles"), F.size("t").alias("_turns"), F.struct(roles.alias("r"), F.size("t").alias("n")).alias("of")))
+    docs = sources.documents(turns, F.concat(F.lit("conv/"), F.col("conv_id").cast("string")), fm)
+    return sources.Corpus(docs, sources.no_edges(spark), sources.no_edges(spark))
+
+
+_TALKS = "WITH c AS (SELECT 'conv/' || conv_id AS key, list(role ORDER BY turn, role) AS roles, count(*) AS n FROM conversations GROUP BY conv_id)"
+_OF_TALKS = {
+    "array_size": ("roles: {$size: {$gte: 4, $lt: 7}}", "n >= 4 AND n < 7"),
+    "array_whole": ("roles: [user, assistant, user, assistant]", "roles = ['user', 'assistant', 'user', 'assistant']"),
+    "object_whole": ("of: {$eq: {n: 2.0, r: [user, assistant]}}", "roles = ['user', 'assistant']"),
+    "reserved_never_tested": ("$or: [{_turns: {$gt: 0}}, {roles: {$size: 6}}]", "n = 6"),
+}
+
+
+def _talk_query(filter_text: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return plans.select(_talks(spark, sf_dir), parse.parse_filter_expression(filter_text)).select("key")
+
+    return run
+
+
+for _name, (_filter, _sql) in _OF_TALKS.items():
+    register(f"{_TALKS} SELECT key FROM c WHERE {_sql}", _name)(_talk_query(_filter))
+
+
+@register(f"{TEXTS} SELECT key, rank() OVER (ORDER BY n_chars DESC) AS place FROM t")
+def shared_ranks(spark, sf_dir):
+    from .plans.ranking import tied
+
+    rows = texts(spark, sf_dir).documents.select("key", F.try_variant_get("fm", "$.n_chars", "long").alias("chars"))
+    return tied(rows, "chars", "place").select("key", F.col("place").cast("long").alias("place"))
+
+
+@register(GEO + " SELECT src AS key, dst AS other, min(pos) AS place FROM ref WHERE src LIKE 'order/1%' GROUP BY ALL")
+def first_edges(spark, sf_dir):
+    """Of several references between two documents, the first in block order."""
+    c = geo(spark, sf_dir)
+    rows = graph.edge_rows(c, "$references").where("key LIKE 'order/1%'").withColumn("pair", F.concat_ws(">", "key", "other"))
+    return graph.first_per(rows, "pair", "block_pos").select("key", "other", F.col("block_pos").alias("place"))
