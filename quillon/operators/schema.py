@@ -24,7 +24,7 @@ DIALECT = "https://document-schema.org/draft/2026-06/schema"
 # inference
 
 
-def field_values(rows: DataFrame, deepest: int = 32) -> DataFrame:
+def field_values(rows: DataFrame) -> DataFrame:
     """(key, path, type, value): every field of the metadata, mappings inside mappings too.
 
     ``value`` is the text of a scalar that looks like one of a set; null for others.
@@ -35,7 +35,7 @@ def field_values(rows: DataFrame, deepest: int = 32) -> DataFrame:
 
     level = opened(rows.select("key", F.lit("").alias("path"), F.col("fm").alias("v")))
     parts = [level]
-    for _ in range(deepest):
+    while True:  # ends, since mappings are finite
         inner = level.where(F.schema_of_variant("v").startswith("OBJECT"))
         if inner.isEmpty():
             break

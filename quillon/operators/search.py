@@ -363,7 +363,7 @@ def _ratios(pairs: DataFrame, terms_of: DataFrame) -> DataFrame:
     return _weighed(pairs, terms_of.select(F.col("class").alias("a"), *columns), theirs, weigh, "a string, b string, score double")
 
 
-def similar_classes(corpus, threshold: float = 0.85, least_tokens: int = 50, length_ratio: float = 2.0, analyzer: str = "simple") -> tuple[DataFrame, DataFrame]:
+def similar_classes(corpus, threshold: float = 0.85, least_tokens: int = 50, length_ratio: float = 2.0, analyzer: str = "english") -> tuple[DataFrame, DataFrame]:
     """(a, b, score), a < b, of classes, and (key, class).
 
     Two classes are similar where the BM25 score of each against the other, over its score against itself,

@@ -414,7 +414,7 @@ def find_search(spark, sf_dir):
     SELECT own.key, count(mu.b) AS links FROM own LEFT JOIN mu ON mu.a = own.key GROUP BY own.key"""
 )
 def similar_documents(spark, sf_dir):
-    return search.similar_documents(texts(spark, sf_dir)).select("key", "links")
+    return search.similar_documents(texts(spark, sf_dir), analyzer="simple").select("key", "links")
 
 
 # statistics, schemas, expansion

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import search
 from ..plans.staging import staged
 from ..sources.files import from_markdown, ignore_rules, ignored, read_directory, relative, sanitised
 
@@ -53,15 +54,21 @@ def vanished(documents: DataFrame, path: str, extension: str = "md") -> DataFram
     return documents.select("key").join(there, "key", "left_anti").select("key", F.lit(None).cast("string").alias("content"), F.lit(True).alias("removed"), F.current_timestamp().alias("at"))
 
 
+#: Columns of a table of documents, and of a search index.
+DOCUMENTS = "key string, content string"
+TERMS = "key string, dl int, term string, tf int"
+
+
 class DocumentTable:
-    """A versioned table of (key, content) in the shared store, in buckets by a hash of the key.
+    """A versioned table of documents, or of other rows with a key, in the shared store, in buckets by a hash of the key.
 
     A version writes only the buckets that change. Its manifest, which appears at once and last, names the
     version that holds each bucket.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, schema: str = DOCUMENTS, order: tuple[str, ...] = ("key",)):
+        """``order`` sorts the rows of a file, so scans with a filter skip parts of it."""
+        self.spark, self.path, self.buckets, self.schema, self.order = spark, path.rstrip("/"), buckets, schema, order
         jvm = spark.sparkContext._jvm
         self._at = jvm.org.apache.hadoop.fs.Path
         self._fs = self._at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -89,8 +96,8 @@ class DocumentTable:
         holds = self._manifest(found[-1] if version is None else version)["holds"] if found else {}
         paths = [f"{self.path}/v={v}/bucket={b}" for b, v in holds.items() if buckets is None or int(b) in buckets]
         if not paths:
-            return self.spark.createDataFrame([], "key string, content string")
-        return self.spark.read.schema("key string, content string").parquet(*paths)
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*paths)
 
     def last_batch(self) -> int:
         """The last batch of a stream that the table has; -1 for none."""
@@ -104,8 +111,9 @@ class DocumentTable:
         holds = self._manifest(found[-1])["holds"] if found and buckets is not None else {}
         changed = range(self.buckets) if buckets is None else buckets
         if len(changed):
-            placed = rows.select("key", "content", self.bucket(F.col("key")).alias("bucket"))
-            placed.repartition("bucket", F.pmod(F.hash("key"), F.lit(4))).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v={version}")
+            columns = [c.split()[0] for c in self.schema.split(", ")]
+            placed = rows.select(*columns, self.bucket(F.col("key")).alias("bucket"))
+            placed.repartition("bucket", F.pmod(F.hash("key"), F.lit(4))).sortWithinPartitions("bucket", *self.order).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v={version}")
         there = {n.removeprefix("bucket=") for n in self._names(f"{self.path}/v={version}") if n.startswith("bucket=")}
         holds = {b: v for b, v in holds.items() if int(b) not in changed} | dict.fromkeys(there, version)
         draft = self._at(f"{self.path}/_m={version}")
@@ -154,6 +162,26 @@ def sweep(table: DocumentTable, path: str, extension: str = "md") -> DataFrame:
     return _apply(table, vanished(table.read(), path, extension), None)
 
 
+def term_index(spark: SparkSession, path: str, buckets: int = 64) -> DocumentTable:
+    """A search index that is kept: pass ``read()`` to ``search.bm25`` as its index."""
+    return DocumentTable(spark, path, buckets, TERMS, ("term", "key"))
+
+
+def update_index(index: DocumentTable, delta: DataFrame, batch: int | None = None, analyzer: str = "english") -> None:
+    """Brings an index up to date with a change set: terms of changed and removed documents go, those of changed ones are found anew.
+
+    No other document is read. With ``batch``, a batch that the index has is not applied again.
+    """
+    if batch is not None and index.last_batch() >= batch:
+        return
+    delta = staged(delta.select("op", "key", "content"), "delta")
+    touched = sorted(r["b"] for r in delta.select(index.bucket(F.col("key")).alias("b")).distinct().collect())  # bounded by the buckets
+    fresh = search.terms(from_markdown(delta.where("op <> 'remove'").select("key", "content")), analyzer)
+    kept = index.read(buckets=touched).join(delta.select("key"), "key", "left_anti")
+    index.commit(kept.unionByName(fresh), touched, batch)
+    index.prune()
+
+
 def maintain(events: DataFrame, table: DocumentTable, checkpoint: str, then: Callable[[DataFrame, int], None] | None = None, **trigger) -> StreamingQuery:
     """Keeps a table of documents up to date with a stream of events.
 

@@ -144,3 +144,19 @@ def test_other_stores_are_refused(spark):
     rows = spark.createDataFrame([("a", "x")], "key string, content string")
     with pytest.raises(ValueError):
         files.write_directory(rows, "hdfs://host/notes")
+
+
+def test_index_follows_changes(spark, tmp_path):
+    from quillon.operators import search
+    from quillon.streaming import changes
+
+    table, index = changes.DocumentTable(spark, str(tmp_path / "t"), 4), changes.term_index(spark, str(tmp_path / "i"), 4)
+    event = lambda *rows: spark.createDataFrame([(k, c, c is None, None) for k, c in rows], changes.EVENTS)
+    follow = lambda delta, n: changes.update_index(index, delta, n)
+    changes.apply_batch(table, event(("a", "# A\n\nrunning dogs"), ("b", "# B\n\nthe cat runs"), ("c", "# C\n\nquiet")), 0, follow)
+    changes.apply_batch(table, event(("a", None), ("c", "# C\n\nruns and runs"), ("d", "# D\n\nno")), 1, follow)
+    corpus = files.from_markdown(table.read())
+    found = [{r["key"]: round(r["score"], 9) for r in search.bm25(corpus, "running cat", index=i).collect()} for i in (None, index.read())]
+    assert found[0] == found[1] and set(found[0]) == {"b", "c"}
+    follow(spark.createDataFrame([("remove", "b", None)], "op string, key string, content string"), 1)
+    assert index.read().where("key = 'b'").count() > 0  # batch 1 is there already
