@@ -101,7 +101,7 @@ def _number(given: str | None) -> str | int | None:
 
 
 def config(folder: str) -> dict:
-    """The options of a folder: title_field, schemas by name, bindings (name -> patterns of keys), extension."""
+    """The options of a folder: extension, title_field, language and stop_words of searches, schemas by name, bindings (name -> patterns of keys)."""
     import tomllib
 
     at = Path(folder, CONFIG)
@@ -112,6 +112,7 @@ def open_folder(spark: SparkSession, folder: str) -> Workspace:
     options = config(folder)
     rows = files.read_directory(spark, folder, options.get("extension", "md"))
     corpus = files.from_markdown(rows, options.get("title_field"), options.get("format", "markdown"))
+    corpus.options |= {k: tuple(v) if isinstance(v, list) else v for k, v in options.items() if k in ("language", "stop_words")}
     return Workspace(corpus, options.get("schemas"), options.get("bindings"))
 
 
@@ -160,7 +161,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         if at.exists():
             print(f"{at} exists", file=sys.stderr)
             return 1
-        at.write_text('extension = "md"\n# title_field = "title"\n# [schemas.note]\n# [bindings]\n# note = ["notes/**"]\n')
+        at.write_text('extension = "md"\n# title_field = "title"\n# language = "english"\n# [schemas.note]\n# [bindings]\n# note = ["notes/**"]\n')
         return 0
     spark = spark or SparkSession.builder.appName("quillon").getOrCreate()
     w = open_folder(spark, a.folder)

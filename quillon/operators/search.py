@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.stemming import STEMMERS
 from ..plans import ir
 from ..plans.ranking import ranked, tied
 from ..plans.staging import staged
@@ -120,26 +121,46 @@ def stem(word: str) -> str:
     return w.replace("Y", "y")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _stemmed(tokens: pd.Series) -> pd.Series:
-    stop = set(STOP_WORDS)
-    return tokens.map(lambda ws: [stem(w) for w in ws if w not in stop], na_action="ignore")
+def analysis(analyzer: str, stop_words: tuple[str, ...] | None = None):
+    """(stemmer, stop words) of an analyzer; only English brings stop words, for others they may be given."""
+    if analyzer != "english" and analyzer not in STEMMERS:
+        raise ValueError(f"no analyzer {analyzer!r}")
+    given = stop_words if stop_words is not None else STOP_WORDS if analyzer == "english" else ()
+    return stem if analyzer == "english" else STEMMERS[analyzer], frozenset(given)
 
 
-def tokens(text: Column, analyzer: str = "english") -> Column:
-    """``english`` drops stop words and stems; ``simple`` stays in the JVM."""
+def _stemmed(found: Column, analyzer: str, stop_words: tuple[str, ...] | None) -> Column:
+    to_stem, stop = analysis(analyzer, stop_words)
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def stemmed(tokens: pd.Series) -> pd.Series:
+        return tokens.map(lambda ws: [to_stem(w) for w in ws if w not in stop], na_action="ignore")
+
+    return stemmed(found)
+
+
+def tokens(text: Column, analyzer: str = "english", stop_words: tuple[str, ...] | None = None) -> Column:
+    """``english``, ``german``, ``spanish`` and ``french`` drop stop words and stem; ``simple`` stays in the JVM."""
     found = simple_tokens(text)
-    return found if analyzer == "simple" else _stemmed(found)
+    return found if analyzer == "simple" else _stemmed(found, analyzer, stop_words)
 
 
-def query_tokens(query: str, analyzer: str = "english") -> list[str]:
+def query_tokens(query: str, analyzer: str = "english", stop_words: tuple[str, ...] | None = None) -> list[str]:
     found = re.findall(r"[^\W_]+", query.lower())
-    return found if analyzer == "simple" else [stem(w) for w in found if w not in STOP_WORDS]
+    if analyzer == "simple":
+        return found
+    to_stem, stop = analysis(analyzer, stop_words)
+    return [to_stem(w) for w in found if w not in stop]
+
+
+def language(corpus) -> str:
+    """The analyzer of a corpus: its option ``language``, else English."""
+    return corpus.options.get("language", "english")
 
 
-def terms(corpus, analyzer: str = "english") -> DataFrame:
+def terms(corpus, analyzer: str | None = None) -> DataFrame:
     """(key, term, tf, dl): the index; dl is the document's number of tokens."""
-    found = corpus_text(corpus).select("key", tokens(F.col("text"), analyzer).alias("tokens"))
+    found = corpus_text(corpus).select("key", tokens(F.col("text"), analyzer or language(corpus), corpus.options.get("stop_words")).alias("tokens"))
     found = found.select("key", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
     return found.groupBy("key", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
 
@@ -158,9 +179,9 @@ def weight(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def bm25(corpus, query: str, analyzer: str = "english", index: DataFrame | None = None) -> DataFrame:
+def bm25(corpus, query: str, analyzer: str | None = None, index: DataFrame | None = None) -> DataFrame:
     """(key, score) of documents with a positive score; each occurrence of a query token counts."""
-    asked = query_tokens(query, analyzer)
+    asked = query_tokens(query, analyzer or language(corpus), corpus.options.get("stop_words"))
     if not asked:
         return corpus.documents.select("key", F.lit(0.0).alias("score")).where("false")
     index = terms(corpus, analyzer) if index is None else index
@@ -251,7 +272,7 @@ def fused(rankings: list[DataFrame], candidates: DataFrame | None = None) -> Dat
     return both.groupBy("key").agg(F.sum("part").alias("score"))
 
 
-def scores(corpus, spec: ir.Search, candidates: DataFrame | None = None, analyzer: str = "english") -> DataFrame:
+def scores(corpus, spec: ir.Search, candidates: DataFrame | None = None, analyzer: str | None = None) -> DataFrame:
     """(key, score) of a search clause; both queries given are fused. BM25 is fitted to the whole corpus."""
     rankings = []
     if spec.lexical is not None:
@@ -268,7 +289,7 @@ def warnings(spec: ir.Search, analyzer: str = "english") -> list[str]:
     return ["the lexical query has no searchable terms"] if spec.lexical is not None and not query_tokens(spec.lexical, analyzer) else []
 
 
-def _classes(corpus, least_tokens: int, analyzer: str, reach: int) -> tuple[DataFrame, DataFrame]:
+def _classes(corpus, least_tokens: int, analyzer: str | None, reach: int) -> tuple[DataFrame, DataFrame]:
     """Documents with equal bags of terms are one class, named by its smallest key.
 
     Gives (key, class) and, by class, (class, dl, term, q, w, df, rest, whole): a term's weight when asked
@@ -363,7 +384,7 @@ def _ratios(pairs: DataFrame, terms_of: DataFrame) -> DataFrame:
     return _weighed(pairs, terms_of.select(F.col("class").alias("a"), *columns), theirs, weigh, "a string, b string, score double")
 
 
-def similar_classes(corpus, threshold: float = 0.85, least_tokens: int = 50, length_ratio: float = 2.0, analyzer: str = "english") -> tuple[DataFrame, DataFrame]:
+def similar_classes(corpus, threshold: float = 0.85, least_tokens: int = 50, length_ratio: float = 2.0, analyzer: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(a, b, score), a < b, of classes, and (key, class).
 
     Two classes are similar where the BM25 score of each against the other, over its score against itself,
@@ -408,7 +429,7 @@ def most_similar(corpus, keys: DataFrame, k: int = 3, **options) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("key", "other", "score", "rank")
 
 
-def sections(corpus, query: str, limit: int = 100, analyzer: str = "english") -> DataFrame:
+def sections(corpus, query: str, limit: int = 100, analyzer: str | None = None) -> DataFrame:
     """(key, pos, text, score): sections by fuzzy text and their document's BM25, ranks shared on ties.
 
     Sections that neither ranking finds stay, last.

@@ -167,7 +167,7 @@ def term_index(spark: SparkSession, path: str, buckets: int = 64) -> DocumentTab
     return DocumentTable(spark, path, buckets, TERMS, ("term", "key"))
 
 
-def update_index(index: DocumentTable, delta: DataFrame, batch: int | None = None, analyzer: str = "english") -> None:
+def update_index(index: DocumentTable, delta: DataFrame, batch: int | None = None, analyzer: str | None = None) -> None:
     """Brings an index up to date with a change set: terms of changed and removed documents go, those of changed ones are found anew.
 
     No other document is read. With ``batch``, a batch that the index has is not applied again.

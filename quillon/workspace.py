@@ -148,6 +148,7 @@ class Workspace:
 
         rows = staged(edits.apply(self.corpus.documents, changes), "documents")
         after = Workspace(files.from_markdown(rows, format=self.corpus.options.get("format", "markdown")), self.schemas, self.bindings)
+        after.corpus.options |= self.corpus.options
         if self.schemas:
             touched = changes.where("op <> 'remove'").select("key")
             broken = after.validate().join(touched, "key", "left_semi").limit(edits.LISTED).collect()
