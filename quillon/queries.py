@@ -540,7 +540,7 @@ def update_fields(spark, sf_dir):
 
 
 @register()
-def squash_thread(spark, sf_dir):
+def normalize_threads(spark, sf_dir):
     """All conversations as Markdown with normal form, through the reader and renderer."""
     from .operators import edits
     from .sources.files import from_markdown
